@@ -6,7 +6,7 @@ import ipaddress
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _OCTET = r"(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
@@ -76,25 +76,28 @@ def prefix_size(length: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), F.lit(32) - length)
 
 
-def flow_direction(src: Column, dst: Column, home_nets: Iterable[str]) -> Column:
-    """outbound / inbound / internal / external, or uncertain when it cannot be told."""
+def with_direction(df: DataFrame, home_nets: Iterable[str], src: str = "_src_ip", dst: str = "_dst_ip") -> DataFrame:
+    """Adds ``direction``: outbound / inbound / internal / external, or uncertain when it cannot be told.
+
+    No home networks, a malformed one, or an address that is none make it uncertain. Each address is
+    parsed once, in a projection of its own.
+    """
     nets = list(home_nets or [])
-    uncertain = F.lit("uncertain")
-    if not nets:
-        return uncertain
     try:
         ranges = ipv4_ranges(nets)
     except ValueError:
-        return uncertain
-    src_in = in_ranges(ipv4_number(src), ranges)
-    dst_in = in_ranges(ipv4_number(dst), ranges)
-    return (
-        F.when(~is_ip(src) | ~is_ip(dst), uncertain)
-        .when(src_in & ~dst_in, "outbound")
-        .when(~src_in & dst_in, "inbound")
-        .when(src_in & dst_in, "internal")
-        .otherwise("external")
-    )
+        nets = []
+    if not nets:
+        return df.withColumn("direction", F.lit("uncertain"))
+    parsed = df.withColumns({"_s_num": ipv4_number(F.col(src)), "_d_num": ipv4_number(F.col(dst))})
+
+    def known(name, number):
+        return F.col(number).isNotNull() | is_ip(F.col(name))
+
+    side = in_ranges(F.col("_s_num"), ranges).cast("int") * 2 + in_ranges(F.col("_d_num"), ranges).cast("int")
+    told = F.element_at(F.array(*[F.lit(d) for d in ("external", "inbound", "outbound", "internal")]), side + 1)
+    direction = F.when(known(src, "_s_num") & known(dst, "_d_num"), told).otherwise("uncertain")
+    return parsed.withColumn("direction", direction).drop("_s_num", "_d_num")
 
 
 def is_blockable(ip: Column) -> Column:

@@ -23,7 +23,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from netloom.functions.net import flow_direction
+from netloom.functions.net import with_direction
 from netloom.functions.times import SECOND, micros, slice_of, to_micros
 from netloom.schemas import FLOW_SCHEMA
 
@@ -50,7 +50,7 @@ def with_flow_key(packets: DataFrame) -> DataFrame:
     })
 
 
-def _measures(packets: DataFrame) -> DataFrame:
+def _measures(packets: DataFrame, *extra: str) -> DataFrame:
     """One row per packet with the numbers every later step needs, and nothing else."""
     keyed = with_flow_key(packets)
     opens = (F.coalesce("syn", F.lit(0)) == 1) & (F.coalesce("ack", F.lit(0)) == 0)
@@ -60,7 +60,7 @@ def _measures(packets: DataFrame) -> DataFrame:
     size = F.coalesce("ip_len", F.lit(0)).cast("long")
     from_lo = F.coalesce("src_ip", F.lit("")) == F.col("lo_ip")
     return keyed.select(
-        *KEY,
+        *KEY, *extra,
         micros(packets, "ts").alias("us"),
         code.alias("code"),
         F.when(opens, code).alias("syn_code"),
@@ -239,8 +239,7 @@ def _features(sessions: DataFrame, home_nets: Iterable[str], ntz: bool) -> DataF
         stamp("first_us").alias("_timestamp"),
         stamp("last_us").alias("flow_end"),
     )
-    out = out.withColumn("direction", flow_direction(F.col("_src_ip"), F.col("_dst_ip"), home_nets))
-    return out.select(*[f.name for f in FLOW_SCHEMA])
+    return with_direction(out, home_nets).select(*[f.name for f in FLOW_SCHEMA])
 
 
 def aggregate_flows(

@@ -598,3 +598,76 @@ def confusion(spark, sf):
 def class_report(spark, sf):
     t = _scored(spark, sf).select((F.col("rf_score") > 0.4).cast("int").alias("is_attack"), (F.col("score") >= 0.5).cast("int").alias("prediction"))
     return training.class_report(t)
+
+
+# ---------------------------------------------------------------- streams
+# Each runs over the files there are and then ends; what is still open at the last watermark stays in state.
+
+def _event_stream(spark, sf) -> DataFrame:
+    schema = views.table(spark, sf, "events").schema
+    return spark.readStream.schema(schema).parquet(f"{sf}/event[s].parquet")
+
+
+def _packet_stream(spark, sf) -> DataFrame:
+    p = views.packets_from_events(_event_stream(spark, sf))
+    return p.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "0 seconds")
+
+
+def _ntz(df: DataFrame) -> DataFrame:
+    return df.select(*[F.col(c).cast("timestamp_ntz").alias(c) if t == "timestamp" else F.col(c) for c, t in df.dtypes])
+
+
+def _alert_stream(spark, sf) -> DataFrame:
+    """Stored alerts as a file stream."""
+    stored = _stored_alerts(spark, sf)
+    path = stored.inputFiles()[0].rsplit("/", 1)[0]
+    a = spark.readStream.schema(stored.schema).parquet(path)
+    return a.withColumn("alert_ts", F.col("alert_ts").cast("timestamp")).withWatermark("alert_ts", "0 seconds")
+
+
+@query
+def stream_flows(spark, sf):
+    from netloom.streaming.flow_state import stream_flows as run
+    from netloom.streaming.runner import drain
+
+    return rounded_waits(_ntz(drain(run(_packet_stream(spark, sf), views.GAP_SECONDS, views.HOME_NETS), "stream-flows")))
+
+
+@query
+def stream_dedup(spark, sf):
+    from netloom.streaming.dedup_state import stream_dedup as run
+    from netloom.streaming.runner import drain
+
+    fired = drain(run(_alert_stream(spark, sf).select("alert_id", "alert_ts", "_src_ip", "_dst_ip", "_dst_port", "label"), views.DEDUP_SECONDS), "stream-dedup")
+    return _ntz(fired.select("alert_id", "alert_ts", "suppressed_since_last", "suppression_note"))
+
+
+@query
+def stream_incidents(spark, sf):
+    from netloom.streaming.operators import stream_incidents as run
+    from netloom.streaming.runner import drain
+
+    out = drain(run(_alert_stream(spark, sf), views.INCIDENT_SECONDS), "stream-incidents")
+    return _ntz(out.select("incident_id", "src_ip", "start_time", "end_time", "alert_count", "max_severity", "status"))
+
+
+@query
+def stream_label_join(spark, sf):
+    from netloom.streaming.operators import stream_labels as run
+    from netloom.streaming.runner import drain
+
+    f, a = stage(_flows(spark, sf), "flows"), stage(_near_alerts(spark, sf).select("_src_ip", "_dst_ip", "_dst_port", "alert_ts", "label"), "near")
+
+    def again(df, ts):
+        path = df.inputFiles()[0].rsplit("/", 1)[0]
+        return spark.readStream.schema(df.schema).parquet(path).withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, "0 seconds")
+
+    return drain(run(again(f, "flow_end"), again(a, "alert_ts")).select("flow_id", "label"), "stream-labels")
+
+
+@query
+def stream_rates(spark, sf):
+    from netloom.streaming.operators import stream_rates as run
+    from netloom.streaming.runner import drain
+
+    return _ntz(drain(run(_packet_stream(spark, sf), "ts", "6 hours", "1 hour"), "stream-rates"))

@@ -398,3 +398,16 @@ SQL["confusion"] = _with(S_, _CM) + "SELECT * FROM c"
 SQL["class_report"] = _with(S_, _CM) + """
 SELECT 'Benign' AS class, round(tn / (tn + fn)::DOUBLE, 6) AS precision, round(tn / (tn + fp)::DOUBLE, 6) AS recall, round(2 * tn / (2 * tn + fn + fp)::DOUBLE, 6) AS f1, tn + fp AS support FROM c
 UNION ALL SELECT 'Attack', round(tp / (tp + fp)::DOUBLE, 6), round(tp / (tp + fn)::DOUBLE, 6), round(2 * tp / (2 * tp + fp + fn)::DOUBLE, 6), tp + fn FROM c"""
+
+# Streams: the same answers for what the last watermark (the newest row, in milliseconds) has closed.
+_MS = "floor(epoch_us({c}) / 1000)"
+SQL["stream_flows"] = _with(F_) + (
+    f"SELECT * REPLACE ({_R}) FROM flows WHERE floor((epoch_us(flow_end) + {GAP_SECONDS * 1000000}) / 1000) + 1 <= (SELECT floor(epoch_us(max(ts)) / 1000) FROM events)")
+SQL["stream_dedup"] = SQL["alerts_dedup"]
+SQL["stream_incidents"] = _with(A_, _incidents("alerts", False)) + f"""
+SELECT incident_id, src_ip, start_time, end_time, alert_count, max_severity, 'closed' AS status FROM incidents
+WHERE floor((epoch_us(end_time) + {INCIDENT_SECONDS * 1000000}) / 1000) <= (SELECT floor(epoch_us(max(alert_ts)) / 1000) FROM alerts)"""
+SQL["stream_rates"] = _with(_packets()) + """
+, w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) - to_hours(i) AS window_start FROM packets, (SELECT unnest(range(6)) AS i))
+SELECT window_start, window_start + INTERVAL 6 HOUR AS window_end, count(*) AS n, round(count(*) / 21600::DOUBLE, 6) AS per_second FROM w GROUP BY ALL
+HAVING window_start + INTERVAL 6 HOUR <= (SELECT date_trunc('milliseconds', max(ts)) FROM events)""".lstrip()
