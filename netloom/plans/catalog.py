@@ -671,3 +671,65 @@ def stream_rates(spark, sf):
     from netloom.streaming.runner import drain
 
     return _ntz(drain(run(_packet_stream(spark, sf), "ts", "6 hours", "1 hour"), "stream-rates"))
+
+
+# ---------------------------------------------------------------- models
+# Rows-only: a forest or a projection has no SQL counterpart. Sizes are small because the data is.
+
+def _train_rows(spark, sf) -> DataFrame:
+    """Cleaned public rows as a written table: training reads them many times."""
+    return stage(training.clean_strict(training.harmonise(views.labelled_lineitem(spark, sf), keep=("row_id",))), "train")
+
+
+@query
+def rf_score(spark, sf):
+    """Forest on the training part, report on the held-out part."""
+    from netloom.ml import models
+
+    t = ranking.stratified_split(_train_rows(spark, sf), "is_attack", ["row_id"])
+    forest = models.train_forest(t.where("is_train"), trees=5, depth=5)
+    return models.class_report(models.forest_score(t.where("not is_train"), forest).withColumn("prediction", (F.col("rf_score") >= 0.5).cast("int")))
+
+
+@query
+def anomaly_score(spark, sf):
+    """Error and score of all rows by class, model from benign rows, threshold from the held-out part."""
+    from netloom.ml import models
+
+    t = ranking.stratified_split(_train_rows(spark, sf), "is_attack", ["row_id"])
+    m = models.fit_threshold(t.where("not is_train"), models.train_anomaly(t.where("is_train and is_attack = 0")))
+    s = models.anomaly_score(t, m)
+    return rounded(s.groupBy("is_attack").agg(F.count(F.lit(1)).alias("n"), F.avg("ae_score").alias("mean_score"), F.max("ae_score").alias("max_score")), 4)
+
+
+@query
+def smote(spark, sf):
+    """Class sizes and means after balancing the flows that raised an alert against those that did not."""
+    from netloom.ml.smote import oversample
+    from netloom.schemas import FEATURE_COLS
+
+    f = stage(views.score_by_id(_flows(spark, sf)), "flows")
+    t = features.model_features(f, keep=("flow_id", "score")).select(F.col("flow_id").alias("row_id"), (F.col("score") >= 0.65).cast("int").alias("is_attack"), *FEATURE_COLS)
+    out = oversample(t, FEATURE_COLS)
+    return rounded(out.groupBy("is_attack").agg(F.count(F.lit(1)).alias("n"), F.avg("duration").alias("duration"), F.min("src_bytes").alias("least_bytes")), 4)
+
+
+@query
+def scored_pipeline(spark, sf):
+    """Own flows scored by both models, then alerts by severity."""
+    from netloom.ml import models
+
+    f = stage(_flows(spark, sf), "flows")
+    t = features.model_features(f.withColumn("is_attack", (F.col("rst_flag_count") > 0).cast("int")), keep=("is_attack",))
+    forest = models.train_forest(t, trees=5, depth=5)
+    anomaly = models.fit_threshold(t, models.train_anomaly(t.where("is_attack = 0")))
+    scored = models.score_flows(f, forest, anomaly)
+    return al.raise_alerts(scored, rules.first_match(scored, views.rule_set())).groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def label_numbers(spark, sf):
+    """Labels with their index in alphabetical order."""
+    from netloom.ml import models
+
+    return models.label_index(_train_rows(spark, sf)).groupBy("label", "label_index").agg(F.count(F.lit(1)).alias("n"))

@@ -400,7 +400,6 @@ SELECT 'Benign' AS class, round(tn / (tn + fn)::DOUBLE, 6) AS precision, round(t
 UNION ALL SELECT 'Attack', round(tp / (tp + fp)::DOUBLE, 6), round(tp / (tp + fn)::DOUBLE, 6), round(2 * tp / (2 * tp + fp + fn)::DOUBLE, 6), tp + fn FROM c"""
 
 # Streams: the same answers for what the last watermark (the newest row, in milliseconds) has closed.
-_MS = "floor(epoch_us({c}) / 1000)"
 SQL["stream_flows"] = _with(F_) + (
     f"SELECT * REPLACE ({_R}) FROM flows WHERE floor((epoch_us(flow_end) + {GAP_SECONDS * 1000000}) / 1000) + 1 <= (SELECT floor(epoch_us(max(ts)) / 1000) FROM events)")
 SQL["stream_dedup"] = SQL["alerts_dedup"]
@@ -411,3 +410,9 @@ SQL["stream_rates"] = _with(_packets()) + """
 , w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) - to_hours(i) AS window_start FROM packets, (SELECT unnest(range(6)) AS i))
 SELECT window_start, window_start + INTERVAL 6 HOUR AS window_end, count(*) AS n, round(count(*) / 21600::DOUBLE, 6) AS per_second FROM w GROUP BY ALL
 HAVING window_start + INTERVAL 6 HOUR <= (SELECT date_trunc('milliseconds', max(ts)) FROM events)""".lstrip()
+
+# Matches leave at once; a flow without one leaves when the slower stream's watermark is past its band.
+SQL["stream_label_join"] = _with(A_, _NEAR) + """
+, wm AS (SELECT least((SELECT floor(epoch_us(max(flow_end)) / 1000) FROM flows), (SELECT floor(epoch_us(max(alert_ts)) / 1000) FROM near)) AS ms)
+SELECT l.flow_id, l.label FROM labelled l JOIN flows f ON l.flow_id = f.flow_id, wm WHERE l.label <> 'BENIGN' OR epoch_us(f.flow_end) / 1000 + 5000 < ms""".lstrip()
+SQL["label_numbers"] = _with(_TRAIN) + "SELECT label, (dense_rank() OVER (ORDER BY label) - 1)::DOUBLE AS label_index, n FROM (SELECT label, count(*) AS n FROM strict GROUP BY 1)"

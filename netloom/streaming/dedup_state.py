@@ -32,7 +32,9 @@ class DedupProcessor(StatefulProcessor):
         import numpy as np
         import pandas as pd
 
-        pdf = pd.concat(list(rows), ignore_index=True).sort_values(["us", "alert_id"], kind="stable", ignore_index=True)
+        pdf = pd.concat(list(rows), ignore_index=True)
+        pdf.columns = [*self.columns, "fp", "us"]  # names with a leading underscore do not survive the transfer
+        pdf = pdf.sort_values(["us", "alert_id"], kind="stable", ignore_index=True)
         us = pdf["us"].to_numpy()
         last, held = self.last.get() if self.last.exists() else (None, 0)
         old = self._expiry(last) if last is not None else None
