@@ -106,8 +106,8 @@ def snapshot(flows: DataFrame, alerts: DataFrame, as_of: Column, window_seconds:
         return df.agg(F.map_from_entries(F.collect_list(F.struct(key, "n")))).scalar()
 
     def as_list(df: DataFrame, key: str) -> Column:
-        by_n = lambda a, b: F.when(a["n"] != b["n"], F.when(a["n"] > b["n"], -1).otherwise(1)).otherwise(F.when(a[key] < b[key], -1).otherwise(1))
-        return F.array_sort(df.agg(F.collect_list(F.struct(key, "n"))).scalar(), by_n)
+        ranked = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), F.col(key).alias("item"))))
+        return df.agg(F.transform(ranked, lambda e: F.struct(e["item"].alias(key), (-e["m"]).alias("n")))).scalar()
 
     spark = flows.sparkSession
     sev = alerts.groupBy(F.coalesce("severity", F.lit("low")).alias("severity")).agg(_n().alias("n"))

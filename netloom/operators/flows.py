@@ -112,7 +112,7 @@ def _slices(ticks: DataFrame) -> DataFrame:
         F.sum(F.when(plain, wait_s * wait_s)).alias("iat_sq"),
         F.max(F.when(plain, wait)).alias("iat_max"),
         F.min(F.when(plain & ~head, F.coalesce(tied, wait))).alias("iat_min"),
-        F.min(F.when(F.col("syn_tick"), F.col("us"))).alias("syn_us"),
+        F.max(F.col("syn_tick") & head).alias("syn_heads"),
         F.min(F.when(F.col("syn_tick"), F.col("syn_code"))).alias("syn_code"),
         F.min(F.when(F.col("syn_tick"), F.col("n"))).alias("syn_n"),
         F.min(F.when(F.col("syn_tick"), wait)).alias("syn_wait"),
@@ -144,13 +144,12 @@ def _sessions(slices: DataFrame, gap_us: int, orient: str) -> DataFrame:
     flagged = flagged.withColumn("turn", turn)
 
     # The tick with the first SYN may be the slice's first one; its wait then spans two slices.
-    syn_is_head = F.col("syn_us") == F.col("first_us")
-    syn_wait = F.when(syn_is_head, F.col("lead")).otherwise(F.col("syn_wait"))
+    syn_wait = F.when(F.col("syn_heads"), F.col("lead")).otherwise(F.col("syn_wait"))
     skipped = F.col("turn") & F.col("syn_leads")
     syn_counted = F.when(~skipped, syn_wait)
     ties_left = F.col("syn_n") - F.when(F.col("turn") & ~F.col("syn_leads"), 2).otherwise(1)
     syn_min = F.when(F.col("syn_code").isNotNull(), F.when(ties_left > 0, F.lit(0).cast("long")).otherwise(syn_counted))
-    head_wait = F.when(F.col("syn_us").isNull() | ~syn_is_head, F.col("lead"))
+    head_wait = F.when(~F.col("syn_heads"), F.col("lead"))
     square = lambda c: F.coalesce(F.pow(c.cast("double") / SECOND, F.lit(2.0)), F.lit(0.0))
 
     return (
