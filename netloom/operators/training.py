@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netloom.functions.values import infinite_to
+from netloom.functions.values import INF
 from netloom.operators.features import online_features
 from netloom.operators.ranking import newest
 from netloom.schemas import FEATURE_COLS
@@ -73,14 +74,17 @@ def _features_in(df: DataFrame) -> list[str]:
 
 def clean_strict(df: DataFrame) -> DataFrame:
     """Rows with an infinite, NaN or missing feature, or without label, are dropped."""
-    cols = _features_in(df)
-    return binarise(df.withColumns({c: infinite_to(F.col(c), None) for c in cols}).na.drop("any", subset=cols + ["label"]))
+    # NaN sorts above infinity, so one comparison rules out NULL, NaN and both infinities.
+    finite = [F.abs(c) < INF for c in _features_in(df)]
+    return binarise(df.where(reduce(and_, finite, F.col("label").isNotNull())))
 
 
 def clean_lenient(df: DataFrame) -> DataFrame:
     """Infinities become 0; rows with a NaN or missing feature, or without label, are dropped."""
     cols = _features_in(df)
-    return binarise(df.withColumns({c: infinite_to(F.col(c), 0.0) for c in cols}).na.drop("any", subset=cols + ["label"]))
+    known = [F.col(c) <= INF for c in cols]
+    kept = df.where(reduce(and_, known, F.col("label").isNotNull()))
+    return binarise(kept.withColumns({c: F.when(F.abs(c) < INF, F.col(c)).otherwise(0.0) for c in cols}))
 
 
 def unite(*frames: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ so that the order in which a sum was taken does not show.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from netloom.operators import alerts as al
 from netloom.operators import analytics as an
 from netloom.operators import blocking, dedup, features, flows, incidents, intel, labels, ranking, rules, training
 from netloom.plans import detect, views
-from netloom.session import stage
+from netloom.session import stage, tune
 from netloom.sources import jsonl
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,8 +25,13 @@ QUERIES: dict[str, Query] = {}
 
 
 def query(fn: Query) -> Query:
-    QUERIES[fn.__name__] = fn
-    return fn
+    @wraps(fn)
+    def run(spark, sf_dir):
+        tune(spark)
+        return fn(spark, sf_dir)
+
+    QUERIES[fn.__name__] = run
+    return run
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -570,13 +576,13 @@ def class_balance(spark, sf):
 
 @query
 def stratified_split(spark, sf):
-    t = training.clean_strict(training.harmonise(views.labelled_lineitem(spark, sf), keep=("row_id",)))
+    t = _train_rows(spark, sf)
     return ranking.stratified_split(t, "is_attack", ["row_id"]).select("row_id", "is_attack", "is_train")
 
 
 @query
 def shuffled_head(spark, sf):
-    t = training.harmonise(views.labelled_lineitem(spark, sf), keep=("row_id",))
+    t = stage(training.harmonise(views.labelled_lineitem(spark, sf), keep=("row_id",)), "train")
     return ranking.shuffled_head(t, 5000, ["row_id"]).select("row_id")
 
 

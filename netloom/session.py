@@ -15,6 +15,9 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Methods above 8,000 bytes of bytecode are never compiled by the JVM. Wide projections reach that,
+    # and then run faster operator by operator than as one interpreted whole-stage method.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
@@ -27,6 +30,12 @@ def build_session(app: str = "netloom", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+def tune(spark: SparkSession) -> None:
+    """Applies the defaults to a session made elsewhere."""
+    for key, value in DEFAULTS.items():
+        spark.conf.set(key, value)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Root for intermediate tables and streaming checkpoints, visible to every executor.
 
