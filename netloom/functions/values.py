@@ -51,8 +51,13 @@ def severity_name(rank: Column) -> Column:
     return F.when(rank == 2, "high").when(rank == 1, "medium").otherwise("low")
 
 
+def fixed_text(c: Column, digits: int) -> Column:
+    """Fixed-point text rounded from the exact binary value, ties to even."""
+    return F.call_function("format_number", c, F.lit("0." + "0" * digits))
+
+
 def percent_text(c: Column, digits: int = 2) -> Column:
-    return F.format_string(f"%.{digits}f%%", F.coalesce(c, F.lit(0.0)) * 100.0)
+    return F.concat(fixed_text(F.coalesce(c, F.lit(0.0)) * 100.0, digits), F.lit("%"))
 
 
 def fingerprint(*cols: Column) -> Column:

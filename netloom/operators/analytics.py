@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netloom.functions.times import time_bin
-from netloom.functions.values import percent_change, ratio
+from netloom.functions.values import fixed_text, percent_change, percent_text, ratio
 from netloom.operators.ranking import newest, top_counts
 
 CRITICAL = ["high", "medium"]
@@ -130,7 +130,7 @@ def kpis(flows: DataFrame, alerts: DataFrame) -> DataFrame:
     c = both.agg(
         F.count_if(F.col("kind") == "flow").alias("total_flows"), F.count_if(F.col("kind") == "alert").alias("total_alerts"),
         F.count_if(F.col("severity").isin(CRITICAL)).alias("critical"))
-    rate = F.when(F.col("total_flows") > 0, F.format_string("%.1f%%", F.col("total_alerts") / F.col("total_flows") * 100.0))
+    rate = F.when(F.col("total_flows") > 0, percent_text(F.col("total_alerts") / F.col("total_flows"), 1))
     return c.select("*", rate.otherwise("0.0%").alias("attack_rate"))
 
 
@@ -250,14 +250,12 @@ def alert_table(alerts: DataFrame) -> DataFrame:
 def alert_ticker(alerts: DataFrame, n: int = 8) -> DataFrame:
     text = F.nullif(F.trim("signature_match"), F.lit(""))
     message = F.when(text.isNotNull() & (text != "nan"), F.col("signature_match")).otherwise(
-        F.format_string("Anomaly: %.3f", F.coalesce("score", F.lit(0.0))))
+        F.concat(F.lit("Anomaly: "), fixed_text(F.coalesce("score", F.lit(0.0)), 3)))
     rows = alerts.orderBy(F.col("alert_ts").desc(), F.col("alert_id").desc()).limit(n)
     return rows.select("alert_id", F.upper(F.coalesce("severity", F.lit("low"))).alias("severity"), F.substring(message, 1, 50).alias("message"))
 
 
 def inspect_alert(alerts: DataFrame, alert_id: int) -> DataFrame:
-    from netloom.functions.values import percent_text
-
     return alerts.where(F.col("alert_id") == alert_id).withColumns({
         "ensemble_score": percent_text(F.col("score")), "rf_confidence": percent_text(F.col("rf_score")),
         "anomaly_score": percent_text(F.col("ae_score")),
@@ -267,9 +265,9 @@ def inspect_alert(alerts: DataFrame, alert_id: int) -> DataFrame:
 def console_lines(alerts: DataFrame) -> DataFrame:
     """One log line per alert, as the console and the live view show it."""
     line = F.format_string(
-        "[ALERT] %s | %s:%s → %s:%s | score=%.3f | label=%s",
+        "[ALERT] %s | %s:%s → %s:%s | score=%s | label=%s",
         F.upper(F.coalesce("severity", F.lit("?"))), F.col("_src_ip"), F.col("_src_port"), F.col("_dst_ip"), F.col("_dst_port"),
-        F.coalesce("score", F.lit(0.0)), F.coalesce(F.nullif(F.col("label"), F.lit("")), F.lit("?")))
+        fixed_text(F.coalesce("score", F.lit(0.0)), 3), F.coalesce(F.nullif(F.col("label"), F.lit("")), F.lit("?")))
     live = F.format_string(
         "[%s] %s | %s -> %s (%s)", F.date_format("alert_ts", "HH:mm:ss"), F.coalesce("label", F.lit("ALERT")),
         F.coalesce("_src_ip", F.lit("?")), F.coalesce("_dst_ip", F.lit("?")), F.coalesce("signature_match", F.lit("Unknown Sig")))

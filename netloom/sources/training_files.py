@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import logging
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from netloom.operators.ranking import shuffled_head
 from netloom.operators.training import clean_lenient, clean_strict, harmonise, unite
+from netloom.session import stage
 
 log = logging.getLogger(__name__)
 
@@ -56,7 +57,9 @@ def load_mixed_flows(spark: SparkSession, folder: str, max_samples: int | None =
             log.warning("no label column in %s", df.inputFiles())
     if not frames:
         raise ValueError("no labelled CSV files")
-    united = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    united = unite(*frames)
     if max_samples:
-        united = shuffled_head(united, max_samples, united.columns)
+        # A written row number tells copies of a row apart, so that the choice has the exact size.
+        numbered = stage(united.withColumn("_row", F.monotonically_increasing_id()), "rows")
+        united = shuffled_head(numbered, max_samples, ["_row"]).drop("_row")
     return clean_lenient(united)
