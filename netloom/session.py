@@ -20,12 +20,16 @@ DEFAULTS = {
     "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
+# Only a new session can take these. Plan building makes half as many calls into the JVM without
+# call-site notes for error messages.
+AT_START = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
 
 def build_session(app: str = "netloom", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**DEFAULTS, **conf}.items():
+    for key, value in {**DEFAULTS, **AT_START, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
