@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -43,11 +44,15 @@ def tune(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """Root for intermediate tables and streaming checkpoints, visible to every executor.
 
-    A cluster names it in ``spark.checkpoint.dir``. A local folder is made only when that setting is
-    absent, which is the case in tests on one machine.
+    A cluster names it in ``spark.checkpoint.dir``. Without that setting a folder is made on this
+    machine, but only when driver and executors are one process here; elsewhere executors would not
+    see each other's files, so the missing setting is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a shared folder when the master is {master!r}")
         root = tempfile.mkdtemp(prefix="netloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -58,6 +63,14 @@ def run_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def drop_run(spark: SparkSession, path: str) -> None:
+    """Removes one folder that :func:`run_dir` named, once nothing reads it any more."""
+    if not path.startswith(shared_dir(spark) + "/"):
+        raise ValueError(f"{path} is not below the shared folder")
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back.
 
