@@ -5,17 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm import common, content_sort
+from netloom.llm import common, content_sort, packing, token_cache
+from netloom.session import run_dir
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def vocabulary(name: str) -> str:
+    """Place of a public tokenizer's file; the folder is installed alike on driver and executors."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"), vocabulary("byte_bpe_50k.tiktoken"), capacity=2048)
+
+
 def op8_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort.duplicate_groups(common.table(spark, sf_dir, "documents").select("doc_id", "text"), keep="max")
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_cache.token_counts(docs, run_dir(spark, "token-counts"), vocabulary("byte_bpe_50k.json"), vocabulary("byte_bpe_50k.tiktoken"), limit=1024)
+
+
 QUERIES = {
+    "op1_best_fit_packing": op1_best_fit_packing,
     "op8_content_sort": op8_content_sort,
+    "op10_token_counts": op10_token_counts,
 }
 
 SQL = {
