@@ -199,7 +199,7 @@ def plan_sequences(counts: dict[int, int], capacity: int, groups: int, small: in
 
 def best_plan(counts: dict[int, int], capacity: int) -> _Plan:
     """The plan with the fewest sequences over a few grouping widths and borders between large and small."""
-    tries = [(groups, capacity // part) for groups in (24, 64) for part in (4, 8)]
+    tries = [(groups, border) for groups in (64, 128) for border in (capacity // 2, 2 * capacity // 5, capacity // 3)]
     return min((plan_sequences(counts, capacity, *t) for t in tries), key=lambda p: (p.sequences, len(p.intervals)))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm import common, content_sort, packing, token_cache
+from netloom.llm import common, content_sort, decontaminate, packing, token_cache
 from netloom.session import run_dir
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -23,6 +23,11 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"), vocabulary("byte_bpe_50k.tiktoken"), capacity=2048)
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.contamination(docs, common.table(spark, sf_dir, "benchmark"), width=10).drop("spans")
+
+
 def op8_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort.duplicate_groups(common.table(spark, sf_dir, "documents").select("doc_id", "text"), keep="max")
 
@@ -34,11 +39,31 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op4_decontamination": op4_decontamination,
     "op8_content_sort": op8_content_sort,
     "op10_token_counts": op10_token_counts,
 }
 
+# Words of both tables in order; windows of 10 words as text, with the place they start at.
+_WINDOWS = rf"""
+    dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS w FROM documents),
+    iw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS w FROM benchmark),
+    ii AS (SELECT item_id, w, unnest(range(1, greatest(2, len(w) - 8))) AS p FROM iw WHERE len(w) > 0),
+    phrases AS (SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(list_slice(w, p, p + 9), ' ') AS phrase FROM ii),
+    sizes AS (SELECT DISTINCT n FROM phrases),
+    di AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM dw),
+    dp AS (SELECT doc_id, p, n, array_to_string(list_slice(w, p, p + n - 1), ' ') AS phrase FROM di, sizes WHERE p + n - 1 <= len(w)),
+    found AS (SELECT DISTINCT doc_id, p, n, item_id FROM dp JOIN phrases USING (n, phrase)),
+    hits AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS k FROM found) GROUP BY doc_id),
+    named AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids
+              FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM found) GROUP BY doc_id)"""
+
 SQL = {
+    "op4_decontamination": f"""
+        WITH {_WINDOWS}
+        SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM dw LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)""",
     "op8_content_sort": f"""
         WITH d AS (SELECT doc_id, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS norm FROM documents),
              g AS (SELECT doc_id, norm, max(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size FROM d)
