@@ -85,22 +85,26 @@ def _knapsack(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> tuple[floa
     return float(best[capacity]), many
 
 
-def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 600) -> tuple[np.ndarray, np.ndarray]:
+def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 400) -> tuple[np.ndarray, np.ndarray]:
     """Column generation: configurations (one in each column) and how often each is used, a fraction."""
     basis = np.diag(np.floor(capacity / sizes))
+    inverse, amount = np.diag(1 / basis.diagonal()), demand / basis.diagonal()
     for _ in range(rounds):
-        inverse = np.linalg.inv(basis)
-        amount = inverse @ demand
         value, column = _knapsack(sizes, inverse.sum(axis=0), capacity)
         if value <= 1 + 1e-7:
             break
-        step = inverse @ column
+        step = (inverse * column).sum(axis=1)
         up = step > 1e-9
         if not up.any():
             break
         out = np.flatnonzero(up)[np.argmin(amount[up] / step[up])]
         basis[:, out] = column
-    return basis, np.maximum(np.linalg.solve(basis, demand), 0)
+        # The new column replaces the old one: one elimination step instead of a new inverse.
+        row, much = inverse[out] / step[out], amount[out] / step[out]
+        inverse -= step[:, None] * row
+        amount -= step * much
+        inverse[out], amount[out] = row, much
+    return basis, np.maximum(amount, 0)
 
 
 class _Plan:
@@ -199,7 +203,7 @@ def plan_sequences(counts: dict[int, int], capacity: int, groups: int, small: in
 
 def best_plan(counts: dict[int, int], capacity: int) -> _Plan:
     """The plan with the fewest sequences over a few grouping widths and borders between large and small."""
-    tries = [(groups, border) for groups in (64, 128) for border in (capacity // 2, 2 * capacity // 5, capacity // 3)]
+    tries = [(64, capacity // 2), (64, capacity // 3), (128, capacity // 2), (128, 2 * capacity // 5)]
     return min((plan_sequences(counts, capacity, *t) for t in tries), key=lambda p: (p.sequences, len(p.intervals)))
 
 
