@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm import common, content_sort, decontaminate, language, packing, simhash, token_cache
+from netloom.llm import common, content_sort, decontaminate, language, packing, sharding, simhash, token_cache
 from netloom.session import run_dir
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -36,6 +36,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(docs, common.table(spark, sf_dir, "benchmark"), width=10).drop("spans")
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign_shards(common.table(spark, sf_dir, "documents").select("doc_id", "text"), shards=16)
+
+
 def op8_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort.duplicate_groups(common.table(spark, sf_dir, "documents").select("doc_id", "text"), keep="max")
 
@@ -50,6 +54,7 @@ QUERIES = {
     "op2_language": op2_language,
     "op3_simhash": op3_simhash,
     "op4_decontamination": op4_decontamination,
+    "op6_sharding": op6_sharding,
     "op8_content_sort": op8_content_sort,
     "op10_token_counts": op10_token_counts,
 }
