@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm import common, content_sort, decontaminate, language, packing, sharding, simhash, token_cache
+from netloom.llm import chat, common, content_sort, decontaminate, language, packing, sharding, simhash, token_cache
 from netloom.session import run_dir
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -44,6 +44,14 @@ def op8_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort.duplicate_groups(common.table(spark, sf_dir, "documents").select("doc_id", "text"), keep="max")
 
 
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = common.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", control), (-7, 1, "assistant", control)], conversations.schema)
+    found = chat.windows(conversations.union(extra), vocabulary("byte_bpe_50k.json"), vocabulary("byte_bpe_50k.tiktoken"), budget=1024, history=2)
+    return chat.read_back(found)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_cache.token_counts(docs, run_dir(spark, "token-counts"), vocabulary("byte_bpe_50k.json"), vocabulary("byte_bpe_50k.tiktoken"), limit=1024)
@@ -56,6 +64,7 @@ QUERIES = {
     "op4_decontamination": op4_decontamination,
     "op6_sharding": op6_sharding,
     "op8_content_sort": op8_content_sort,
+    "op9_chat": op9_chat,
     "op10_token_counts": op10_token_counts,
 }
 
