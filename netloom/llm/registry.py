@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm import chat, common, content_sort, decontaminate, language, packing, sharding, simhash, token_cache
+from netloom.llm import chat, common, content_sort, decontaminate, html_text, language, packing, sharding, simhash, token_cache
 from netloom.session import run_dir
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -36,6 +36,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(docs, common.table(spark, sf_dir, "benchmark"), width=10).drop("spans")
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(common.table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(common.table(spark, sf_dir, "documents").select("doc_id", "text"), shards=16)
 
@@ -62,6 +66,7 @@ QUERIES = {
     "op2_language": op2_language,
     "op3_simhash": op3_simhash,
     "op4_decontamination": op4_decontamination,
+    "op5_html": op5_html,
     "op6_sharding": op6_sharding,
     "op8_content_sort": op8_content_sort,
     "op9_chat": op9_chat,
