@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm import chat, common, content_sort, decontaminate, html_text, language, packing, sharding, simhash, token_cache
+from netloom.llm import chat, common, content_sort, decontaminate, html_text, language, packing, pseudonyms, sharding, simhash, token_cache
 from netloom.session import run_dir
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -44,6 +44,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(common.table(spark, sf_dir, "documents").select("doc_id", "text"), shards=16)
 
 
+def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.pseudonymise(common.table(spark, sf_dir, "documents").select("doc_id", "text"), key="netloom-demonstration-key")
+
+
 def op8_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort.duplicate_groups(common.table(spark, sf_dir, "documents").select("doc_id", "text"), keep="max")
 
@@ -68,6 +72,7 @@ QUERIES = {
     "op4_decontamination": op4_decontamination,
     "op5_html": op5_html,
     "op6_sharding": op6_sharding,
+    "op7_pseudonyms": op7_pseudonyms,
     "op8_content_sort": op8_content_sort,
     "op9_chat": op9_chat,
     "op10_token_counts": op10_token_counts,
