@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netloom.llm import bytebpe, common
+from netloom.session import stage
 
 _STORED = "digest binary, n_tokens long"
 
@@ -69,7 +70,8 @@ def token_counts(docs: DataFrame, cache: str, tokenizer: str, ranks: str | None
         raise ValueError(f"{ranks} has another vocabulary than {tokenizer}")
     common.tune(docs.sparkSession)
     append_missing(docs, cache, tokenizer, ranks, text)
-    # Two runs may append the same digest; one count is as good as the other.
-    counts = stored_counts(docs, cache, bytebpe.version_digest(tokenizer)).groupBy("digest").agg(F.first("n_tokens").alias("n_tokens"))
+    # Two runs may append the same digest; one count is as good as the other. Written, so that the join below
+    # reads both sides from plain exchanges, whose hot partitions the adaptive join can split.
+    counts = stage(stored_counts(docs, cache, bytebpe.version_digest(tokenizer)).groupBy("digest").agg(F.first("n_tokens").alias("n_tokens")), "counts")
     rows = docs.select(F.col(ident), F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("n_bytes"), _digest(text).alias("digest"))
     return rows.join(counts, "digest", "left").select(ident, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
