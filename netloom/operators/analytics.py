@@ -135,14 +135,19 @@ def kpis(flows: DataFrame, alerts: DataFrame) -> DataFrame:
 
 
 def compare_periods(flows: DataFrame, alerts: DataFrame, as_of: Column, seconds: float = 86400.0) -> DataFrame:
-    """(metric, cur, prev, delta_pct) for flows, alerts and high+medium alerts, in one pass."""
+    """(metric, cur, prev, delta_pct) for flows, alerts and high+medium alerts up to ``as_of``, in one pass.
+
+    Each metric has a row, also without any rows to count.
+    """
     cut, start = _seconds_before(as_of, seconds), _seconds_before(as_of, 2 * seconds)
     critical = F.col("severity").isin(CRITICAL)
     both = flows.select(F.array(F.lit("flows")).alias("m"), F.col("flow_end").alias("ts")).unionByName(
         alerts.select(F.when(critical, F.array(F.lit("alerts"), F.lit("high"))).otherwise(F.array(F.lit("alerts"))).alias("m"),
                       F.col("alert_ts").alias("ts")))
-    c = both.where(F.col("ts") >= start).select(F.explode("m").alias("metric"), "ts").groupBy("metric").agg(
+    c = both.where((F.col("ts") >= start) & (F.col("ts") <= as_of)).select(F.explode("m").alias("metric"), "ts").groupBy("metric").agg(
         F.count_if(F.col("ts") >= cut).alias("cur"), F.count_if(F.col("ts") < cut).alias("prev"))
+    every = flows.sparkSession.createDataFrame([("flows",), ("alerts",), ("high",)], "metric string")
+    c = every.join(c, "metric", "left").select("metric", *[F.coalesce(x, F.lit(0)).alias(x) for x in ("cur", "prev")])
     return c.select("*", F.round(percent_change(F.col("cur"), F.col("prev")), 4).alias("delta_pct"))
 
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from netloom.session import stage
+
 
 def top_counts(df: DataFrame, column: str, n: int, count_name: str = "n") -> DataFrame:
     """The ``n`` most frequent values; ties go to the smaller value."""
@@ -19,47 +21,28 @@ def newest(df: DataFrame, n: int, ts: str, tie: str) -> DataFrame:
     return df.orderBy(F.col(ts).desc(), F.col(tie).desc()).limit(n).orderBy(ts, tie)
 
 
-def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float], accuracy: int = 100_000) -> DataFrame:
+def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float]) -> DataFrame:
     """(p, value): quantiles with linear interpolation between neighbours, exact.
 
-    A sketch first brackets each quantile. Everything under a bracket is only counted; what lies in it
-    (about 4/accuracy of the rows, equal values already merged) is ranked.
+    Equal values are merged, the rest is range-partitioned and written; counts by part and their prefix
+    sums tell which part holds each rank, and only those parts are counted through, each by itself.
     """
     vals = df.select(F.col(column).cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
-    margin = 2.0 / accuracy
-    lo = [max(0.0, p - margin) for p in probs]
-    hi = [min(1.0, p + margin) for p in probs]
-    bracket = vals.agg(
-        F.struct(F.count("v").alias("n"), F.percentile_approx("v", lo, accuracy).alias("lo"),
-                 F.percentile_approx("v", hi, accuracy).alias("hi"))
-    ).scalar()
-    spread = vals.select("v", F.posexplode(bracket["lo"]).alias("i", "a")).withColumn("b", F.element_at(bracket["hi"], F.col("i") + 1))
-    # A sketch may put its lowest point above the minimum, so the outermost brackets stay open.
-    open_lo = F.col("i").isin([i for i, p in enumerate(lo) if p == 0.0] or [-1])
-    open_hi = F.col("i").isin([i for i, p in enumerate(hi) if p == 1.0] or [-1])
-    # Few rows are ranked whole: there a bracket could be narrower than one row.
-    many = bracket["n"] > 4 * accuracy
-    open_lo, open_hi = open_lo | ~many, open_hi | ~many
-    under = ~open_lo & (F.col("v") < F.col("a"))
-    counts = (
-        spread.where(open_hi | (F.col("v") <= F.col("b")))
-        .select("i", F.when(~under, F.col("v")).alias("v"))
-        .groupBy("i", "v").agg(F.count(F.lit(1)).alias("c"))
-    )
-    rising = Window.partitionBy("i").orderBy(F.col("v").asc_nulls_first())
-    p = F.element_at(F.array(*[F.lit(float(x)) for x in probs]), F.col("i") + 1)
-    ranked = counts.withColumn("upto", F.sum("c").over(rising)).withColumns({"p": p, "at": (bracket["n"] - 1) * p})
-    low, high = F.floor("at"), F.ceil("at")
-    picked = ranked.groupBy("i", "p", "at").agg(
-        F.coalesce(F.max(F.when(F.col("v").isNull(), F.col("upto"))), F.lit(0)).alias("below"),
-        F.min(F.when(F.col("upto") > low, F.col("v"))).alias("a"),
-        F.min(F.when(F.col("upto") > high, F.col("v"))).alias("b"),
-    )
-    value = F.col("a") + (F.col("b") - F.col("a")) * (F.col("at") - low)
-    bad = (F.col("below") > low) | F.col("b").isNull()
-    return picked.select(
-        "p", F.when(bad, F.raise_error(F.lit("quantile outside its bracket")).cast("double")).otherwise(value).alias("value")
-    )
+    merged = vals.groupBy("v").agg(F.count(F.lit(1)).alias("c")).repartitionByRange("v")
+    held = stage(merged.withColumn("part", F.spark_partition_id()), "quantiles")
+    parts = held.groupBy("part").agg(F.sum("c").alias("rows"))  # a row for each partition
+    upto = F.sum("rows").over(Window.orderBy("part"))
+    placed = parts.withColumns({"before": upto - F.col("rows"), "n": F.sum("rows").over(Window.partitionBy())})
+    wanted = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)])
+    at = placed.select("part", "rows", "before", "n", F.explode(wanted).alias("w")).select(
+        "part", "rows", "before", "w.i", "w.p", ((F.col("n") - 1) * F.col("w.p")).alias("at"))
+    ends = at.select("*", F.explode(F.array(F.floor("at"), F.ceil("at"))).alias("rank")).distinct()
+    inside = ends.where((F.col("before") <= F.col("rank")) & (F.col("rank") < F.col("before") + F.col("rows")))
+    running = F.sum("c").over(Window.partitionBy("part").orderBy("v"))
+    counted = held.join(inside.select("part").distinct(), "part", "left_semi").withColumn("upto", running)
+    picked = inside.join(counted, "part").where(F.col("before") + F.col("upto") > F.col("rank")).groupBy("i", "p", "at", "rank").agg(F.min("v").alias("v"))
+    both = picked.groupBy("i", "p", "at").agg(F.min_by("v", "rank").alias("a"), F.max_by("v", "rank").alias("b"))
+    return both.select("p", (F.col("a") + (F.col("b") - F.col("a")) * (F.col("at") - F.floor("at"))).alias("value"))
 
 
 def order_hash(ids: Sequence[str], seed: int) -> Column:

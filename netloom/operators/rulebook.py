@@ -65,11 +65,3 @@ DEFAULT_RULES = [
          description="Very high packet rate to port 53. DNS tunnelling tools send many small UDP packets to encode data in DNS query names.",
          conditions=[("dst_port", "eq", 53), ("flow_packets_per_sec", "gt", 50)]),
 ]
-
-# Values a probe flow carries before a rule's own conditions are written over them (fixed values).
-PROBE_DEFAULTS = {
-    "dst_port": 80, "syn_flag_count": 100, "ack_flag_count": 0, "fin_flag_count": 0,
-    "rst_flag_count": 50, "psh_flag_count": 0, "urg_flag_count": 0, "packet_count": 2,
-    "duration": 0.1, "src_bytes": 9000000, "dst_bytes": 100, "flow_bytes_per_sec": 15000000,
-    "flow_packets_per_sec": 600, "avg_packet_len": 50, "_dst_port": 80,
-}

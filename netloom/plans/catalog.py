@@ -17,7 +17,7 @@ from netloom.operators import alerts as al
 from netloom.operators import analytics as an
 from netloom.operators import blocking, dedup, features, flows, incidents, intel, labels, ranking, rules, training
 from netloom.plans import detect, views
-from netloom.session import stage, tune
+from netloom.session import run_dir, stage, tune
 from netloom.sources import jsonl
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -164,6 +164,13 @@ def rules_as_data(spark, sf):
     return rules.match_rule_table(f, rules.rules_frame(spark, views.rule_set())).select("flow_id", "rule_id")
 
 
+@query
+def rules_as_data_mixed(spark, sf):
+    """Texts as the value of a membership test, lists of mixed types, booleans, large doubles as text."""
+    f = _flows(spark, sf)
+    return rules.match_rule_table(f, rules.rules_frame(spark, views.mixed_rules())).select("flow_id", "rule_id")
+
+
 @query
 def rules_default(spark, sf):
     """The shipped rules on the same flows."""
@@ -369,6 +376,13 @@ def period_compare(spark, sf):
     return an.compare_periods(_scored(spark, sf), _alerts(spark, sf), _end(spark, sf), 5 * 86400.0)
 
 
+@query
+def period_compare_empty(spark, sf):
+    """Periods in which no alert was high or medium."""
+    calm = _alerts(spark, sf).where("severity = 'low'")
+    return an.compare_periods(_scored(spark, sf), calm, _end(spark, sf), 5 * 86400.0)
+
+
 @query
 def severity_breakdown(spark, sf):
     return an.severity_breakdown(_alerts(spark, sf))
@@ -398,7 +412,7 @@ def score_quantiles(spark, sf):
 def price_quantiles(spark, sf):
     """Same operator on a large column with many repeated and many distinct values."""
     li = views.table(spark, sf, "lineitem").select(F.when(F.col("l_linenumber") % 3 == 0, F.lit(5000.0)).otherwise(F.col("l_extendedprice")).alias("x"))
-    return rounded(ranking.exact_quantiles(li, "x", [0.0, 0.05, 0.5, 0.95, 1.0], accuracy=2000), 4)
+    return rounded(ranking.exact_quantiles(li, "x", [0.0, 0.05, 0.5, 0.95, 1.0]), 4)
 
 
 @query
@@ -657,6 +671,22 @@ def stream_incidents(spark, sf):
     return _ntz(out.select("incident_id", "src_ip", "start_time", "end_time", "alert_count", "max_severity", "status"))
 
 
+@query
+def stream_live_incidents(spark, sf):
+    """Live incidents after five micro-batches whose alerts come in no order of time."""
+    from netloom.streaming import runner
+
+    alerts = _alerts(spark, sf).select("alert_id", "alert_ts", "_src_ip", "severity")
+    mixed = stage(alerts.repartition(5, F.xxhash64("alert_id")), "mixed-alerts")
+    path = mixed.inputFiles()[0].rsplit("/", 1)[0]
+    source = spark.readStream.schema(mixed.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    root = run_dir(spark, "live")
+    cfg = detect.DetectConfig(incident_seconds=views.INCIDENT_SECONDS, incident_lateness_seconds=400 * 86400.0)
+    runner.start_alert_sink(source, root, f"{root}/checkpoint", cfg).awaitTermination()
+    live = _ntz(runner.live_incidents(spark, root, F.current_timestamp(), views.INCIDENT_SECONDS))
+    return live.select("src_ip", "start_time", "end_time", "alert_count", "max_severity")
+
+
 @query
 def stream_label_join(spark, sf):
     from netloom.streaming.operators import stream_labels as run
@@ -680,7 +710,7 @@ def stream_rates(spark, sf):
 
 
 # ---------------------------------------------------------------- models
-# Rows-only: a forest or a projection has no SQL counterpart. Sizes are small because the data is.
+# Rows-only: a forest or a projection has no SQL counterpart.
 
 def _train_rows(spark, sf) -> DataFrame:
     """Cleaned public rows as a written table: training reads them many times."""
@@ -693,7 +723,7 @@ def rf_score(spark, sf):
     from netloom.ml import models
 
     t = ranking.stratified_split(_train_rows(spark, sf), "is_attack", ["row_id"])
-    forest = models.train_forest(t.where("is_train"), trees=5, depth=5)
+    forest = models.train_forest(t.where("is_train"))
     return models.class_report(models.forest_score(t.where("not is_train"), forest).withColumn("prediction", (F.col("rf_score") >= 0.5).cast("int")))
 
 
@@ -727,7 +757,7 @@ def scored_pipeline(spark, sf):
 
     f = stage(_flows(spark, sf), "flows")
     t = features.model_features(f.withColumn("is_attack", (F.col("rst_flag_count") > 0).cast("int")), keep=("is_attack",))
-    forest = models.train_forest(t, trees=5, depth=5)
+    forest = models.train_forest(t)
     anomaly = models.fit_threshold(t, models.train_anomaly(t.where("is_attack = 0")))
     scored = models.score_flows(f, forest, anomaly)
     return al.raise_alerts(scored, rules.first_match(scored, views.rule_set())).groupBy("severity").agg(F.count(F.lit(1)).alias("n"))

@@ -270,6 +270,9 @@ SELECT flow_id, dst_port::DOUBLE AS dst_port, round(duration + 0.000000003::DOUB
     "rules_all": _with(F_) + "SELECT flow_id, concat_ws(' + ', " + ", ".join(f"CASE WHEN {c} THEN '{n}: {d}' END" for _, n, d, _, _, c in _RULES) + ") AS matches FROM flows",
     "rules_meta": _with(F_) + _META,
     "rules_as_data": _with(F_) + f"SELECT flow_id, rule_id FROM ({_META})",
+    "rules_as_data_mixed": _with(F_) + " UNION ALL ".join(f"SELECT flow_id, '{i}' AS rule_id FROM flows WHERE {c}" for i, c in [
+        ("M_PART", "contains('inbound,outbound', direction)"), ("M_NOT_PART", "NOT contains('internal', direction)"), ("M_PORT", "_dst_port = 53"),
+        ("M_TEXT", "direction = 'inbound'"), ("M_TRUE", "fin_flag_count = 1"), ("M_DOUBLE", "contains(CAST(src_bytes AS VARCHAR), '00.0') AND packet_count <> 2")]),
     "rules_default": _with(F_) + f"SELECT rule_id, severity, count(*) AS n FROM ({_SHIPPED_HITS}) GROUP BY ALL",
     "rules_toggled": _with(F_) + f"SELECT rule_id, count(*) AS n FROM (SELECT rule_id FROM ({_META}) WHERE rule_id <> 'V_PORT' UNION ALL SELECT 'V_OFF' FROM flows WHERE packet_count > 0) GROUP BY 1",
     "rule_tag_hits": _with(F_) + f"SELECT tag, count(*) AS n FROM (SELECT unnest(string_split(tags, ',')) AS tag FROM ({_META})) GROUP BY 1",
@@ -330,11 +333,14 @@ SELECT 86400::DOUBLE AS window_secs, f AS flows_in_window, a AS alerts_in_window
     "kpi": _with(A_) + """
 , c AS (SELECT (SELECT count(*) FROM flows) AS f, (SELECT count(*) FROM alerts) AS a, (SELECT count(*) FROM alerts WHERE severity IN ('high', 'medium')) AS h)
 SELECT f AS total_flows, a AS total_alerts, h AS critical, format('{:.1f}%', a / f::DOUBLE * 100) AS attack_rate FROM c""".lstrip(),
-    "period_compare": _with(A_) + """
+    **{name: _with(A_) + f"""
 , e AS (SELECT max(ts) AS t FROM events),
-u AS (SELECT 'flows' AS metric, flow_end AS ts FROM flows UNION ALL SELECT 'alerts', alert_ts FROM alerts UNION ALL SELECT 'high', alert_ts FROM alerts WHERE severity IN ('high', 'medium')),
-c AS (SELECT metric, count(*) FILTER (ts >= t - INTERVAL 432000 SECOND) AS cur, count(*) FILTER (ts < t - INTERVAL 432000 SECOND AND ts >= t - INTERVAL 864000 SECOND) AS prev FROM u, e GROUP BY 1)
-SELECT metric, cur, prev, round(CASE WHEN prev = 0 THEN CASE WHEN cur > 0 THEN 100 ELSE 0 END ELSE (cur - prev) * 100 / prev::DOUBLE END, 4) AS delta_pct FROM c""".lstrip(),
+u AS (SELECT 'flows' AS metric, flow_end AS ts FROM flows UNION ALL SELECT 'alerts', alert_ts FROM alerts WHERE {some}
+  UNION ALL SELECT 'high', alert_ts FROM alerts WHERE severity IN ('high', 'medium') AND {some}),
+c AS (SELECT metric, count(ts) FILTER (ts >= t - INTERVAL 432000 SECOND AND ts <= t) AS cur, count(ts) FILTER (ts < t - INTERVAL 432000 SECOND AND ts >= t - INTERVAL 864000 SECOND) AS prev
+  FROM (VALUES ('flows'), ('alerts'), ('high')) m(metric) CROSS JOIN e LEFT JOIN u USING (metric) GROUP BY 1)
+SELECT metric, cur, prev, round(CASE WHEN prev = 0 THEN CASE WHEN cur > 0 THEN 100 ELSE 0 END ELSE (cur - prev) * 100 / prev::DOUBLE END, 4) AS delta_pct FROM c""".lstrip()
+       for name, some in (("period_compare", "true"), ("period_compare_empty", "severity = 'low'"))},
     "severity_breakdown": _with(A_) + "SELECT severity, count(*) AS n FROM alerts GROUP BY 1",
     "alert_timeline": _with(A_) + """
 , b AS (SELECT time_bucket(INTERVAL 1800 SECOND, alert_ts) AS bin, count(*) AS n FROM alerts GROUP BY 1),
@@ -406,6 +412,7 @@ SQL["stream_dedup"] = SQL["alerts_dedup"]
 SQL["stream_incidents"] = _with(A_, _incidents("alerts", False)) + f"""
 SELECT incident_id, src_ip, start_time, end_time, alert_count, max_severity, 'closed' AS status FROM incidents
 WHERE floor((epoch_us(end_time) + {INCIDENT_SECONDS * 1000000}) / 1000) <= (SELECT floor(epoch_us(max(alert_ts)) / 1000) FROM alerts)"""
+SQL["stream_live_incidents"] = _with(A_, _incidents("alerts", False)) + "SELECT src_ip, start_time, end_time, alert_count, max_severity FROM incidents"
 SQL["stream_rates"] = _with(_packets()) + """
 , w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) - to_hours(i) AS window_start FROM packets, (SELECT unnest(range(6)) AS i))
 SELECT window_start, window_start + INTERVAL 6 HOUR AS window_end, count(*) AS n, round(count(*) / 21600::DOUBLE, 6) AS per_second FROM w GROUP BY ALL

@@ -24,6 +24,7 @@ class DetectConfig:
     home_nets: Iterable[str] = ()
     rules: Sequence[Rule] = field(default_factory=default_rules)
     scorer: Callable[[DataFrame], DataFrame] = with_rules_only_score
+    incident_lateness_seconds: float = 86400.0  # how far behind the newest alert a streamed one may come
 
 
 def detect_flows(packets: DataFrame, cfg: DetectConfig) -> DataFrame:

@@ -70,6 +70,20 @@ def rule_set():
     return parse_rules(VIEW_RULES)
 
 
+def mixed_rules():
+    """Values whose type differs from their field's, lists of mixed types, a text as the value of a membership test."""
+    from netloom.operators.rules import parse_rules
+
+    return parse_rules([
+        dict(id="M_PART", name="x", conditions=[("direction", "in", "inbound,outbound")]),
+        dict(id="M_NOT_PART", name="x", conditions=[("direction", "not_in", "internal")]),
+        dict(id="M_PORT", name="x", conditions=[("_dst_port", "in", [53, "x"])]),
+        dict(id="M_TEXT", name="x", conditions=[("direction", "in", ["inbound", 7])]),
+        dict(id="M_TRUE", name="x", conditions=[("fin_flag_count", "in", [True])]),
+        dict(id="M_DOUBLE", name="x", conditions=[("src_bytes", "contains", "00.0"), ("packet_count", "neq", "2")]),
+    ])
+
+
 # Same operators as the default rules with values that fit the test traffic.
 VIEW_RULES = [
     dict(id="V_SYN", name="Syn burst", description="many openings, few answers", severity="high", tags=["dos"],

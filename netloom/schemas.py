@@ -60,7 +60,7 @@ INCIDENT_SCHEMA = _struct(
 )
 
 CONDITION_TYPE = _struct(
-    ("field", _s), ("op", _s), ("value", _s), ("values", T.ArrayType(_s)), ("is_string", _b),
+    ("field", _s), ("op", _s), ("value", _s), ("number", _d), ("is_string", _b), ("texts", T.ArrayType(_s)), ("numbers", T.ArrayType(_d)),
 )
 RULE_SCHEMA = _struct(
     ("rule_order", _i), ("id", _s), ("name", _s), ("description", _s), ("severity", _s),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -18,7 +18,7 @@ from netloom.operators.intel import enrich
 from netloom.operators.rules import first_match
 from netloom.operators.alerts import raise_alerts
 from netloom.plans.detect import DetectConfig
-from netloom.session import run_dir
+from netloom.session import run_dir, stage
 from netloom.sources.rulefile import RuleFile
 
 log = logging.getLogger(__name__)
@@ -116,8 +116,8 @@ def start_alert_sink(fired: DataFrame, root: str, checkpoint: str, cfg: DetectCo
             batch = enrich(batch, spark.read.schema("ip string").parquet(blocklist_path), read_geo(spark, geo_path))
         batch.persist()
         try:
-            write_batch(batch, root, "alerts", batch_id)
-            upsert_incidents(spark, batch, root, batch_id, cfg.incident_seconds)
+            found = upsert_incidents(spark, batch, root, batch_id, cfg.incident_seconds, cfg.incident_lateness_seconds)
+            write_batch(with_incident(batch, found), root, "alerts", batch_id)
             topics.publish("alert", batch)
         finally:
             batch.unpersist()
@@ -126,7 +126,7 @@ def start_alert_sink(fired: DataFrame, root: str, checkpoint: str, cfg: DetectCo
 
 
 _PARTS = "src_ip string, first_us bigint, last_us bigint, n bigint, rank int, country string, city string, asn string, threat_level string, intel_us bigint"
-
+_LIVE = f"incident_id bigint, {_PARTS}, closed_by bigint"
 
 def _as_parts(alerts: DataFrame) -> DataFrame:
     """Alerts of a batch combined per source and second."""
@@ -142,40 +142,71 @@ def _as_parts(alerts: DataFrame) -> DataFrame:
         *[F.max_by(c, "intel_us").alias(c) for c in INTEL], F.max("intel_us").alias("intel_us")).drop("s")
 
 
-def upsert_incidents(spark: SparkSession, alerts: DataFrame, root: str, batch_id: int, window_seconds: float) -> None:
-    """Extends the incidents of the sources in this batch, or opens new ones, as one more version."""
-    gap = to_micros(window_seconds)
-    new = _as_parts(alerts)
-    try:
-        stored = spark.read.schema(_PARTS + ", batch bigint").parquet(f"{root}/incidents").where(F.col("batch") < batch_id)
-        now = latest_parts(stored).join(new.select("src_ip").distinct(), "src_ip", "left_semi")
-        rows = new.unionByName(now)
-    except Exception as error:
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        rows = new
-    order = Window.partitionBy("src_ip").orderBy("first_us")
+def _snapshot(spark: SparkSession, root: str, batch_id: int) -> DataFrame:
+    """Incidents that an alert could still reach, as the batch before left them."""
+    empty = spark.createDataFrame([], _LIVE).drop("closed_by")
+    if batch_id == 0:
+        return empty
+    return spark.read.schema(empty.schema).parquet(f"{root}/incidents_open/batch={batch_id - 1}")
+
+
+def upsert_incidents(spark: SparkSession, alerts: DataFrame, root: str, batch_id: int, window_seconds: float, lateness_seconds: float) -> DataFrame:
+    """Extends, merges or opens incidents by the alerts of a batch, in whatever order they come.
+
+    An incident keeps its id when it grows to either side. If alerts bridge several, the one that began
+    first goes on and the others get a last version that names it (``closed_by``). Written are the changed
+    versions and a snapshot of what later alerts can reach; a batch reads the snapshot before it alone.
+    Returns (src_ip, s, incident_id) by source and second of the batch.
+    """
+    gap, late = to_micros(window_seconds), to_micros(lateness_seconds)
+    new = _as_parts(alerts).withColumns({"incident_id": F.lit(None).cast("bigint"), "s": F.floor(F.col("first_us") / 1_000_000)})
+    before = _snapshot(spark, root, batch_id)
+    reach = new.groupBy("src_ip").agg((F.min("first_us") - gap).alias("lo"), (F.max("last_us") + gap).alias("hi"))
+    near = before.join(reach, "src_ip").where("last_us >= lo AND first_us <= hi").drop("lo", "hi")
+    rows = new.unionByName(near.withColumn("s", F.lit(None).cast("bigint")))
+    order = Window.partitionBy("src_ip").orderBy("first_us", "last_us")
     prior = F.max("last_us").over(order.rowsBetween(Window.unboundedPreceding, -1))
     opens = F.coalesce(F.col("first_us") - prior > gap, F.lit(True)).cast("int")
-    merged = rows.withColumn("opens", opens).withColumn("session", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    out = merged.groupBy("src_ip", "session").agg(
+    cut = rows.withColumn("opens", opens).withColumn("session", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = Window.partitionBy("src_ip", "session")
+    known = F.min(F.when(F.col("incident_id").isNotNull(), F.struct("first_us", "incident_id"))).over(whole)["incident_id"]
+    fresh = incident_id(F.col("src_ip"), F.min("first_us").over(whole))
+    marked = stage(cut.withColumn("goes_on", F.coalesce(known, fresh)), "live-parts")
+
+    changed = marked.groupBy(F.col("goes_on").alias("incident_id"), "src_ip", "session").agg(
         F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"), F.sum("n").alias("n"), F.max("rank").alias("rank"),
         *[F.max_by(c, "intel_us").alias(c) for c in INTEL], F.max("intel_us").alias("intel_us")).drop("session")
-    write_batch(out, root, "incidents", batch_id)
+    absorbed = marked.where("incident_id != goes_on").withColumn("closed_by", F.col("goes_on"))
+    names = [c.split()[0] for c in _LIVE.split(", ")]
+    write_batch(changed.withColumn("closed_by", F.lit(None).cast("bigint")).select(names).union(absorbed.select(names)), root, "incidents", batch_id)
+
+    stays = before.join(marked.where("incident_id IS NOT NULL").select("incident_id"), "incident_id", "left_anti")
+    reachable = stays.unionByName(changed)
+    newest = reachable.agg(F.max("last_us")).scalar()
+    write_batch(reachable.where(F.col("last_us") >= newest - (late + gap)), root, "incidents_open", batch_id)
+    return marked.where("s IS NOT NULL").select("src_ip", "s", F.col("goes_on").alias("incident_id"))
+
+
+def with_incident(alerts: DataFrame, found: DataFrame) -> DataFrame:
+    """Adds the id of the incident that each alert of a batch belonged to when it came."""
+    keyed = alerts.withColumns({"_source": F.coalesce("_src_ip", F.lit("unknown")), "_second": F.floor(F.unix_micros(F.col("alert_ts").cast("timestamp")) / 1_000_000)})
+    named = found.select(F.col("src_ip").alias("_source"), F.col("s").alias("_second"), "incident_id")
+    return keyed.join(named, ["_source", "_second"], "left").drop("_source", "_second")
 
 
 def latest_parts(stored: DataFrame) -> DataFrame:
-    """The newest version of each incident, told by source and start."""
-    last = Window.partitionBy("src_ip", "first_us").orderBy(F.col("batch").desc())
-    return stored.withColumn("_r", F.row_number().over(last)).where("_r = 1").drop("_r", "batch")
+    """The newest version of each incident that no other one has taken over."""
+    newest = stored.groupBy("incident_id").agg(F.max_by(F.struct(*[c for c in stored.columns if c not in ("incident_id", "batch")]), "batch").alias("v"))
+    return newest.select("incident_id", "v.*").where("closed_by IS NULL").drop("closed_by")
 
 
 def live_incidents(spark: SparkSession, root: str, as_of, window_seconds: float) -> DataFrame:
-    """Incidents with their status at ``as_of`` (a timestamp)."""
-    stored = spark.read.schema(_PARTS + ", batch bigint").parquet(f"{root}/incidents")
+    """Incidents with their status at ``as_of`` (a timestamp, or a Column)."""
+    stored = spark.read.schema(_LIVE + ", batch bigint").parquet(f"{root}/incidents")
     end = F.timestamp_micros("last_us")
-    idle = F.unix_micros(F.lit(as_of).cast("timestamp")) - F.col("last_us")
+    now = as_of if isinstance(as_of, Column) else F.lit(as_of)
+    idle = F.unix_micros(now.cast("timestamp")) - F.col("last_us")
     return latest_parts(stored).select(
-        incident_id(F.col("src_ip"), F.col("first_us")).alias("incident_id"), F.timestamp_micros("first_us").alias("start_time"), end.alias("end_time"),
+        "incident_id", F.timestamp_micros("first_us").alias("start_time"), end.alias("end_time"),
         "src_ip", F.col("n").alias("alert_count"), severity_name(F.col("rank")).alias("max_severity"),
         F.when(idle > to_micros(window_seconds), "closed").otherwise("active").alias("status"), *INTEL)

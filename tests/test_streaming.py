@@ -80,3 +80,20 @@ def test_topics():
     with pytest.raises(ValueError):
         t.subscribe("nope", print)
     t.publish("nope", None)
+
+
+def test_live_incidents_in_any_order(spark, tmp_path):
+    """Earlier alerts extend an incident, bridging ones merge two; versions that are taken over do not count."""
+    root = str(tmp_path / "live")
+    batches = [[(1, 100, "a")], [(2, 90, "a"), (3, 1000, "b")], [(4, 110, "a")], [(5, 400, "a")], [(6, 255, "a")], [(7, 5000, "b"), (8, 400, "a")]]
+    for number, rows in enumerate(batches):
+        data = [(i, T0 + dt.timedelta(seconds=t), s, "high" if i == 4 else "low") for i, t, s in rows]
+        batch = spark.createDataFrame(data, "alert_id long, alert_ts timestamp, _src_ip string, severity string")
+        named = runner.with_incident(batch, runner.upsert_incidents(spark, batch, root, number, 180, 86400)).collect()
+        assert all(r["incident_id"] is not None for r in named) and len(named) == len(rows)
+    found = runner.live_incidents(spark, root, T0 + dt.timedelta(seconds=600), 180).collect()
+    seconds = lambda t: (t - T0).total_seconds()
+    assert sorted((r["src_ip"], seconds(r["start_time"]), seconds(r["end_time"]), r["alert_count"], r["max_severity"]) for r in found) == [
+        ("a", 90, 400, 6, "high"), ("b", 1000, 1000, 1, "low"), ("b", 5000, 5000, 1, "low")]
+    assert len({r["incident_id"] for r in found}) == 3
+    assert spark.read.parquet(f"{root}/incidents_open/batch=5").count() == 3
