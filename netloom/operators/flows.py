@@ -80,10 +80,13 @@ def _totals() -> list[Column]:
 
 
 def _ticks(measures: DataFrame, slice_us: int) -> DataFrame:
+    # Between equal addresses the order of packets decides their direction, so these stay apart.
+    apart = F.when(F.col("lo_ip") == F.col("hi_ip"), F.col("code"))
     return (
-        measures.withColumn("slice", slice_of(F.col("us"), slice_us))
-        .groupBy(*KEY, "slice", "us")
+        measures.withColumns({"slice": slice_of(F.col("us"), slice_us), "apart": apart})
+        .groupBy(*KEY, "slice", "us", "apart")
         .agg(*_totals(), F.min("code").alias("code"), F.min("syn_code").alias("syn_code"))
+        .drop("apart")
     )
 
 
@@ -99,7 +102,7 @@ def _slices(ticks: DataFrame) -> DataFrame:
         "syn_rank": F.count("syn_code").over(order.rowsBetween(Window.unboundedPreceding, 0)),
     }).withColumn("syn_tick", F.col("syn_code").isNotNull() & (F.col("syn_rank") == 1))
 
-    plain = ~F.col("syn_tick")
+    plain, early = ~F.col("syn_tick"), F.col("syn_rank") == 0
     wait, head = F.col("wait"), F.col("wait").isNull()
     tied = F.when(F.col("n") > 1, F.lit(0).cast("long"))
     wait_s = wait.cast("double") / SECOND
@@ -117,6 +120,9 @@ def _slices(ticks: DataFrame) -> DataFrame:
         F.min(F.when(F.col("syn_tick"), F.col("n"))).alias("syn_n"),
         F.min(F.when(F.col("syn_tick"), wait)).alias("syn_wait"),
         F.max(F.col("syn_tick") & (F.col("syn_code") == F.col("code"))).alias("syn_leads"),
+        # What came before the slice's first SYN, for flows between equal addresses.
+        F.sum(F.when(early, F.col("n"))).alias("early_n"), F.sum(F.when(early, F.col("len_all"))).alias("early_len"),
+        F.max(F.when(early, F.col("max_lo"))).alias("early_max"), F.max(F.when(~early, F.col("max_lo"))).alias("late_max"),
     )
 
 
@@ -150,6 +156,7 @@ def _sessions(slices: DataFrame, gap_us: int, orient: str) -> DataFrame:
     ties_left = F.col("syn_n") - F.when(F.col("turn") & ~F.col("syn_leads"), 2).otherwise(1)
     syn_min = F.when(F.col("syn_code").isNotNull(), F.when(ties_left > 0, F.lit(0).cast("long")).otherwise(syn_counted))
     head_wait = F.when(~F.col("syn_heads"), F.col("lead"))
+    waiting = F.col("syn_slices") == 0
     square = lambda c: F.coalesce(F.pow(c.cast("double") / SECOND, F.lit(2.0)), F.lit(0.0))
 
     return (
@@ -159,6 +166,10 @@ def _sessions(slices: DataFrame, gap_us: int, orient: str) -> DataFrame:
             "lo": F.least(F.col("iat_min"), F.coalesce(F.col("head_tied"), head_wait), syn_min),
             "skip": F.when(skipped, syn_wait),
             "turn_code": F.when(F.col("turn"), F.col("syn_code")),
+            "before_n": F.when(waiting, F.col("n")).when(F.col("turn"), F.col("early_n")),
+            "before_len": F.when(waiting, F.col("len_all")).when(F.col("turn"), F.col("early_len")),
+            "before_max": F.when(waiting, F.col("max_lo")).when(F.col("turn"), F.col("early_max")),
+            "after_max": F.when(F.col("turn"), F.col("late_max")).when(~waiting, F.col("max_lo")),
         })
         .groupBy(*KEY, "session")
         .agg(
@@ -167,6 +178,8 @@ def _sessions(slices: DataFrame, gap_us: int, orient: str) -> DataFrame:
             F.min("flow_code").alias("flow_code"), F.min("turn_code").alias("turn_code"),
             F.sum("sq").alias("iat_sq"), F.max("hi").alias("iat_max"), F.min("lo").alias("iat_min"),
             F.sum("skip").alias("skipped_us"),
+            F.sum("before_n").alias("before_n"), F.sum("before_len").alias("before_len"),
+            F.max("before_max").alias("before_max"), F.max("after_max").alias("after_max"),
         )
         .withColumn("src_lo", _source_side(orient))
     )
@@ -184,10 +197,13 @@ def _source_side(orient: str) -> Column:
     raise ValueError(f"orient must be 'first_syn' or 'syn_sender', not {orient!r}")
 
 
-def _features(sessions: DataFrame, home_nets: Iterable[str], ntz: bool) -> DataFrame:
+def _features(sessions: DataFrame, home_nets: Iterable[str], ntz: bool, orient: str = "first_syn") -> DataFrame:
     src_lo = F.col("src_lo")
-    # Direction of a packet is told by address alone, so with equal addresses all count as forward.
-    fwd_lo = src_lo | (F.col("lo_ip") == F.col("hi_ip"))
+    # Direction of a packet is told by address alone, so with equal addresses all count as forward; when such
+    # a flow turns around, what was counted so far changes sides.
+    same = F.col("lo_ip") == F.col("hi_ip")
+    fwd_lo = src_lo | same
+    swapped = same & F.col("turn_code").isNotNull() & F.lit(orient == "first_syn")
 
     def pick(cond, a, b):
         return F.when(cond, a).otherwise(b)
@@ -202,6 +218,11 @@ def _features(sessions: DataFrame, home_nets: Iterable[str], ntz: bool) -> DataF
     iat_mean = (span_us - F.coalesce("skipped_us", F.lit(0))) / float(SECOND) / waits
     iat_var = F.col("iat_sq") / waits - iat_mean * iat_mean
     zero = F.lit(0.0)
+    before_n, before_len = (F.coalesce(c, F.lit(0).cast("long")) for c in ("before_n", "before_len"))
+
+    def split(turned, lo_is_fwd, hi_is_fwd):
+        return F.when(swapped, turned).otherwise(pick(fwd_lo, lo_is_fwd, hi_is_fwd))
+
     src_ip, dst_ip = pick(src_lo, F.col("lo_ip"), F.col("hi_ip")), pick(src_lo, F.col("hi_ip"), F.col("lo_ip"))
     dst_port = pick(src_lo, F.col("hi_port"), F.col("lo_port"))
 
@@ -215,22 +236,22 @@ def _features(sessions: DataFrame, home_nets: Iterable[str], ntz: bool) -> DataF
         F.shiftright("flow_code", 2).alias("flow_id"),
         dst_port.alias("dst_port"),
         F.round(duration, 6).alias("duration"),
-        pick(fwd_lo, F.col("len_lo"), F.col("len_all") - F.col("len_lo")).cast("double").alias("src_bytes"),
-        pick(fwd_lo, F.col("len_all") - F.col("len_lo"), F.col("len_lo")).cast("double").alias("dst_bytes"),
+        split(F.col("len_all") - before_len, F.col("len_lo"), F.col("len_all") - F.col("len_lo")).cast("double").alias("src_bytes"),
+        split(before_len, F.col("len_all") - F.col("len_lo"), F.col("len_lo")).cast("double").alias("dst_bytes"),
         n.alias("packet_count"),
         mean_len.alias("avg_packet_len"),
         F.sqrt(F.greatest(var_len, zero)).alias("std_packet_len"),
         (total / duration).alias("flow_bytes_per_sec"),
         (n / duration).alias("flow_packets_per_sec"),
-        pick(fwd_lo, F.col("max_lo"), F.col("max_hi")).cast("double").alias("fwd_packet_len_max"),
-        pick(fwd_lo, F.col("max_hi"), F.col("max_lo")).cast("double").alias("bwd_packet_len_max"),
+        split(F.coalesce("after_max", zero), F.col("max_lo"), F.col("max_hi")).cast("double").alias("fwd_packet_len_max"),
+        split(F.coalesce("before_max", zero), F.col("max_hi"), F.col("max_lo")).cast("double").alias("bwd_packet_len_max"),
         iat_mean.alias("flow_iat_mean"),
         F.sqrt(F.greatest(iat_var, zero)).alias("flow_iat_std"),
         F.coalesce(F.col("iat_max") / float(SECOND), zero).alias("flow_iat_max"),
         F.coalesce(F.col("iat_min") / float(SECOND), zero).alias("flow_iat_min"),
         *[F.col(f).alias(f"{f}_flag_count") for f in FLAGS],
-        pick(fwd_lo, F.col("n_lo"), n - F.col("n_lo")).alias("fwd_packet_count"),
-        pick(fwd_lo, n - F.col("n_lo"), F.col("n_lo")).alias("bwd_packet_count"),
+        split(n - before_n, F.col("n_lo"), n - F.col("n_lo")).alias("fwd_packet_count"),
+        split(before_n, n - F.col("n_lo"), F.col("n_lo")).alias("bwd_packet_count"),
         src_ip.alias("_src_ip"), dst_ip.alias("_dst_ip"),
         pick(src_lo, F.col("lo_port"), F.col("hi_port")).alias("_src_port"),
         dst_port.alias("_dst_port"),
@@ -265,7 +286,7 @@ def aggregate_flows(
     else:
         ticks = measures.withColumn("slice", slice_of(F.col("us"), slice_us))
     ntz = packets.schema["ts"].dataType.typeName() == "timestamp_ntz"
-    return _features(_sessions(_slices(ticks), gap_us, orient), home_nets, ntz)
+    return _features(_sessions(_slices(ticks), gap_us, orient), home_nets, ntz, orient)
 
 
 def merge_sensors(*sources: DataFrame) -> DataFrame:

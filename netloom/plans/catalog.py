@@ -110,6 +110,13 @@ def flows_syn_sender(spark, sf):
     return rounded_waits(f.select("flow_id", "_src_ip", "_src_port", "_dst_ip", "_dst_port", "src_bytes", "dst_bytes", "direction"))
 
 
+@query
+def flows_loopback(spark, sf):
+    """The same traffic between equal addresses, where the order of packets decides their direction."""
+    p = views.packets(spark, sf).withColumns({"src_ip": F.lit("127.0.0.1"), "dst_ip": F.lit("127.0.0.1")})
+    return rounded_waits(flows.aggregate_flows(p, views.GAP_SECONDS, views.HOME_NETS))
+
+
 @query
 def flows_multi_sensor(spark, sf):
     """Two sensors, the second sees only some event types; what both see counts twice."""

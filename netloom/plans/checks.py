@@ -32,6 +32,7 @@ packets AS (SELECT event_id AS packet_id, ts,
 
 
 def _flows(source: str = "packets", orient: str = "first_syn") -> str:
+    one_way = "CASE WHEN src_ip = dst_ip THEN " + ("NOT (turns AND rn < open_rn) ELSE " if orient == "first_syn" else "true ELSE ")
     src_flip = "turns" if orient == "first_syn" else "turns AND open_src_lo <> head_src_lo"
     return f"""
 keyed AS (SELECT *, (src_ip < dst_ip OR (src_ip = dst_ip AND src_port <= dst_port)) AS src_lo, epoch_us(ts) AS us FROM {source}),
@@ -47,7 +48,7 @@ marked AS (SELECT *, first_value(opens) OVER w AS head_opens, first_value(src_lo
 turned AS (SELECT *, NOT head_opens AND open_rn IS NOT NULL AS turns,
   bool_or(rn = open_rn AND src_lo) OVER (PARTITION BY {_KEY}, sid) AS open_src_lo FROM marked),
 sided AS (SELECT *, CASE WHEN {src_flip} THEN NOT head_src_lo ELSE head_src_lo END AS from_lo FROM turned),
-timed AS (SELECT *, (src_lo = from_lo) AS is_fwd, CASE WHEN rn > 1 AND NOT (turns AND rn = open_rn) THEN us - prev END AS iat_us FROM sided),
+timed AS (SELECT *, {one_way}(src_lo = from_lo) END AS is_fwd, CASE WHEN rn > 1 AND NOT (turns AND rn = open_rn) THEN us - prev END AS iat_us FROM sided),
 sums AS (SELECT {_KEY}, sid, bool_or(from_lo) AS from_lo, count(*) AS n, min(CASE WHEN rn = 1 THEN packet_id END) AS flow_id,
   min(ts) AS t0, max(ts) AS t1, max(us) - min(us) AS span, sum(ip_len)::DOUBLE AS len, sum(ip_len * ip_len)::DOUBLE AS sq,
   sum(CASE WHEN is_fwd THEN ip_len ELSE 0 END)::DOUBLE AS fb, sum(CASE WHEN is_fwd THEN 0 ELSE ip_len END)::DOUBLE AS bb,
@@ -252,6 +253,7 @@ SELECT packet_id, CASE WHEN protocol IN (6, 17) THEN CAST(50000 + user_id AS INT
   CAST((flags >> 3) & 1 AS INTEGER) AS psh, CAST((flags >> 4) & 1 AS INTEGER) AS ack, CAST((flags >> 5) & 1 AS INTEGER) AS urg FROM b""",
     "flows_all": _with(F_) + _FLOW_SELECT,
     "flows_untied": _with(F_) + _FLOW_SELECT,
+    "flows_loopback": _with(_packets(), "loop AS (SELECT * REPLACE ('127.0.0.1' AS src_ip, '127.0.0.1' AS dst_ip) FROM packets)", _flows("loop")) + _FLOW_SELECT,
     "flows_syn_sender": _with(_packets(), _flows(orient="syn_sender")) + "SELECT flow_id, _src_ip, _src_port, _dst_ip, _dst_port, src_bytes, dst_bytes, direction FROM flows",
     "flows_multi_sensor": _with(_packets(), """
 twice AS (SELECT * FROM packets UNION ALL SELECT * REPLACE (2 AS sensor) FROM packets WHERE syn = 1 OR rst = 1)""", _flows("twice")) + """

@@ -1,9 +1,10 @@
 """Packets -> flows on a stream.
 
 Per key only running totals are kept, never packets. A micro-batch brings a key's new packets, which
-are sorted, cut at long gaps and folded into the totals with numpy. A flow leaves when a later packet
-of its key lies beyond the gap, or when the watermark does. Packets that arrive late but within the
-watermark delay add an inter-arrival time of 0 to the flow they fall into.
+are sorted, cut at long gaps and folded into the totals with numpy. A key may have several open flows: a
+flow leaves when the watermark lies beyond its gap, as late packets can reach it until then. Packets that
+arrive late add an inter-arrival time of 0 to the flow they fall into; if they close the gap between two
+flows, these become one.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ from netloom.operators.flows import FLAGS, KEY, _features, _measures, _source_si
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _ADDED = ["n", "n_lo", "len_all", "len_lo", "len_sq", *FLAGS]
-_TOTALS = [*_ADDED, "max_lo", "max_hi", "first_us", "last_us", "flow_code", "turn_code", "iat_max", "iat_min", "skipped_us"]
+_TOTALS = [*_ADDED, "max_lo", "max_hi", "first_us", "last_us", "flow_code", "turn_code", "iat_max", "iat_min", "skipped_us",
+           "before_n", "before_len", "before_max", "after_max"]
 _STATE = ", ".join(f"{c} bigint" for c in _TOTALS) + ", iat_sq double"
 _KEY_TYPES = "lo_ip string, lo_port int, hi_ip string, hi_port int, protocol int"
 _OUT = f"{_KEY_TYPES}, {_STATE}"
@@ -34,8 +36,10 @@ def _fold(state: dict | None, cols: dict, lo: int, hi: int) -> dict:
 
     us, code = cols["us"][lo:hi], cols["code"][lo:hi]
     s = state or {**dict.fromkeys(_ADDED, 0), "max_lo": 0, "max_hi": 0, "first_us": int(us[0]), "last_us": None,
-                  "flow_code": int(code[0]), "turn_code": None, "iat_max": None, "iat_min": None, "skipped_us": None, "iat_sq": 0.0}
+                  "flow_code": int(code[0]), "turn_code": None, "iat_max": None, "iat_min": None, "skipped_us": None, "iat_sq": 0.0,
+                  "before_n": None, "before_len": None, "before_max": None, "after_max": None}
     s = dict(s)
+    so_far, sizes = (s["n"], s["len_all"], s["max_lo"]), cols["max_lo"][lo:hi]
     for c in _ADDED:
         s[c] += int(cols[c][lo:hi].sum())
     for c in ("max_lo", "max_hi"):
@@ -47,9 +51,14 @@ def _fold(state: dict | None, cols: dict, lo: int, hi: int) -> dict:
     waits = np.maximum(us - seen[:-1], 0)
     counted = np.ones(len(us), dtype=bool)
     counted[0] = not fresh
-    if s["turn_code"] is None and not s["flow_code"] & 1:
+    if s["turn_code"] is not None:
+        s["after_max"] = max(s["after_max"], int(sizes.max()))
+    elif not s["flow_code"] & 1:
         opens = np.flatnonzero(code & 1)
         if len(opens):
+            k = int(opens[0])
+            s["before_n"], s["before_len"] = so_far[0] + int(cols["n"][lo : lo + k].sum()), so_far[1] + int(cols["len_all"][lo : lo + k].sum())
+            s["before_max"], s["after_max"] = max([so_far[2], *sizes[:k].tolist()]), int(sizes[k:].max())
             s["turn_code"] = int(code[opens[0]])
             s["skipped_us"] = int(waits[opens[0]])
             counted[opens[0]] = False
@@ -63,13 +72,38 @@ def _fold(state: dict | None, cols: dict, lo: int, hi: int) -> dict:
     return s
 
 
+def _joined(a: dict, b: dict) -> dict:
+    """One flow of two that late packets connect; ``a`` began first."""
+    s = dict(a)
+    for c in _ADDED:
+        s[c] += b[c]
+    s["last_us"], wait = max(a["last_us"], b["last_us"]), max(b["first_us"] - a["last_us"], 0)
+    s["max_lo"], s["max_hi"] = max(a["max_lo"], b["max_lo"]), max(a["max_hi"], b["max_hi"])
+    counted = True
+    if a["turn_code"] is not None:
+        s["after_max"] = max(a["after_max"], b["max_lo"])
+    elif not a["flow_code"] & 1:
+        if b["flow_code"] & 1:  # the later flow began with the packet that turns the whole
+            s["turn_code"], s["skipped_us"], counted = b["flow_code"], wait, False
+            s["before_n"], s["before_len"], s["before_max"], s["after_max"] = a["n"], a["len_all"], a["max_lo"], b["max_lo"]
+        elif b["turn_code"] is not None:
+            s["turn_code"], s["skipped_us"], s["after_max"] = b["turn_code"], b["skipped_us"], b["after_max"]
+            s["before_n"], s["before_len"] = a["n"] + b["before_n"], a["len_all"] + b["before_len"]
+            s["before_max"] = max(a["max_lo"], b["before_max"])
+    s["iat_sq"] += b["iat_sq"] + ((wait / 1e6) ** 2 if counted else 0.0)
+    own = [x for x in (a["iat_max"], b["iat_max"], wait if counted else None) if x is not None]
+    low = [x for x in (a["iat_min"], b["iat_min"], wait if counted else None) if x is not None]
+    s["iat_max"], s["iat_min"] = max(own, default=None), min(low, default=None)
+    return s
+
+
 class FlowProcessor(StatefulProcessor):
     def __init__(self, gap_us: int):
         self.gap_us = gap_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.totals = handle.getValueState("totals", _STATE)
+        self.open = handle.getListState("open", _STATE)
 
     def _rows(self, key, flows):
         import pandas as pd
@@ -79,12 +113,17 @@ class FlowProcessor(StatefulProcessor):
             out[c] = out[c].astype("Int64")
         return out
 
-    def _load(self):
-        row = self.totals.get() if self.totals.exists() else None
-        return dict(zip([*_TOTALS, "iat_sq"], row)) if row is not None else None
+    def _load(self) -> list[dict]:
+        return [dict(zip([*_TOTALS, "iat_sq"], row)) for row in self.open.get()] if self.open.exists() else []
+
+    def _keep(self, flows: list[dict]) -> None:
+        if flows:
+            self.open.put([tuple(f[c] for c in [*_TOTALS, "iat_sq"]) for f in flows])
+        else:
+            self.open.clear()
 
-    def _expiry(self, last_us: int) -> int:
-        return (last_us + self.gap_us) // 1000 + 1
+    def _expiry(self, flow: dict) -> int:
+        return (flow["last_us"] + self.gap_us) // 1000 + 1
 
     def handleInputRows(self, key, rows, timerValues):
         import numpy as np
@@ -92,29 +131,33 @@ class FlowProcessor(StatefulProcessor):
 
         pdf = pd.concat(list(rows), ignore_index=True).sort_values(["us", "code"], kind="stable")
         cols = {c: pdf[c].to_numpy() for c in ["us", "code", *_ADDED, "max_lo", "max_hi"]}
-        state, done = self._load(), []
-        old = state and self._expiry(state["last_us"])
+        flows = self._load()
+        before = {self._expiry(f) for f in flows}
         breaks = np.flatnonzero(np.diff(cols["us"]) > self.gap_us) + 1
         edges = [0, *breaks.tolist(), len(pdf)]
         for lo, hi in zip(edges[:-1], edges[1:]):
-            if state is not None and cols["us"][lo] - state["last_us"] > self.gap_us:
-                done.append(state)
-                state = None
-            state = _fold(state, cols, lo, hi)
-        self.totals.update(tuple(state[c] for c in [*_TOTALS, "iat_sq"]))
-        new = self._expiry(state["last_us"])
-        if old != new:
-            if old:
-                self.handle.deleteTimer(old)
+            first, last = int(cols["us"][lo]), int(cols["us"][hi - 1])
+            near = sorted((f for f in flows if first <= f["last_us"] + self.gap_us and last >= f["first_us"] - self.gap_us), key=lambda f: f["first_us"])
+            flows = [f for f in flows if f not in near]
+            state = near[0] if near else None
+            for other in near[1:]:
+                state = _joined(state, other)
+            flows.append(_fold(state, cols, lo, hi))
+        self._keep(flows)
+        after = {self._expiry(f) for f in flows}
+        for gone in before - after:
+            self.handle.deleteTimer(gone)
+        for new in after - before:
             self.handle.registerTimer(new)
-        if done:
-            yield self._rows(key, done)
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        state = self._load()
-        if state is not None and self._expiry(state["last_us"]) <= expiredTimerInfo.getExpiryTimeInMs():
-            self.totals.clear()
-            yield self._rows(key, [state])
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        flows = self._load()
+        done = [f for f in flows if self._expiry(f) <= now]
+        if done:
+            self._keep([f for f in flows if self._expiry(f) > now])
+            yield self._rows(key, done)
 
     def close(self) -> None:
         pass
@@ -125,4 +168,4 @@ def stream_flows(packets: DataFrame, gap_seconds: float = 20.0, home_nets: Itera
     measures = _measures(packets, "ts")
     closed = measures.groupBy(*KEY).transformWithStateInPandas(
         FlowProcessor(to_micros(gap_seconds)), _OUT, "Append", "EventTime")
-    return _features(closed.withColumn("src_lo", _source_side(orient)), home_nets, False)
+    return _features(closed.withColumn("src_lo", _source_side(orient)), home_nets, False, orient)

@@ -15,21 +15,22 @@ def flows(packets, gap, home=()):
             f = None
         opens = p.get("syn", 0) == 1 and p.get("ack", 0) == 0
         if f is None:
-            f = open_flows[key] = dict(id=p["packet_id"], start=p["t"], src=a, dst=b, settled=opens, iats=[], pk=[], last=p["t"])
+            f = open_flows[key] = dict(id=p["packet_id"], start=p["t"], src=a, dst=b, settled=opens, iats=[], pk=[], fwd=[], bwd=[], last=p["t"])
         elif opens and not f["settled"]:
             f["src"], f["dst"], f["settled"] = f["dst"], f["src"], True
+            f["fwd"], f["bwd"] = f["bwd"], f["fwd"]
         else:
             f["iats"].append(p["t"] - f["last"])
         f["last"] = p["t"]
         f["pk"].append(p)
+        f["fwd" if p["src_ip"] == f["src"][0] else "bwd"].append(p["ip_len"])
     done += open_flows.values()
     return {f["id"]: _row(f) for f in done if len(f["pk"]) >= 2}
 
 
 def _row(f):
     n, pk = len(f["pk"]), f["pk"]
-    fwd = [p["ip_len"] for p in pk if p["src_ip"] == f["src"][0]]
-    bwd = [p["ip_len"] for p in pk if p["src_ip"] != f["src"][0]]
+    fwd, bwd = f["fwd"], f["bwd"]
     lens = [p["ip_len"] for p in pk]
     dur = f["last"] - f["start"]
     dur = dur if dur > 0 else 1e-6

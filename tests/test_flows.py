@@ -114,3 +114,14 @@ def test_mixed_capture(spark, make_packets):
     inc = detect.incidents_of(fired, cfg, F.lit("2024-01-02").cast("timestamp_ntz")).collect()
     assert [(i["src_ip"], i["alert_count"], i["status"]) for i in inc] == [("10.0.0.88", 1, "closed")]
     assert inc[0]["incident_id"] == row[0]["incident_id"]
+
+
+def test_equal_addresses_that_turn(make_packets):
+    """What came before the first opening SYN changes sides, also within one microsecond and across slices."""
+    rows = [tcp(t, "127.0.0.1", 5000, "127.0.0.1", 80, n, syn=s) for t, n, s in ((0, 100, 0), (0.5, 40, 1), (1, 60, 0))]
+    r = fl.aggregate_flows(make_packets(rows), 60).first()
+    assert (r["fwd_packet_count"], r["bwd_packet_count"], r["src_bytes"], r["dst_bytes"], r["fwd_packet_len_max"], r["bwd_packet_len_max"]) == (2, 1, 100, 100, 60, 100)
+    rows = [dict(p, src_ip="127.0.0.1", dst_ip="127.0.0.1") for p in random_packets(5, 400, step=0.5)]
+    for slice_seconds in (None, 1.5):
+        got = fl.aggregate_flows(make_packets(rows), 7.0, slice_seconds=slice_seconds).collect()
+        simulate.same_flows(got, simulate.flows(rows, 7.0))

@@ -27,6 +27,7 @@ def write_in_files(df, path, n, order):
 
 def test_stream_flows_equal_batch(spark, make_packets, tmp_path):
     rows = random_packets(7, 500, keys=5, span=300)
+    rows = [dict(p, src_ip="127.0.0.1", dst_ip="127.0.0.1") if i % 3 == 0 else p for i, p in enumerate(rows)]
     end = [dict(tcp(5000, "1.1.1.1", 1, "2.2.2.2", 2), packet_id=9000, protocol=6)]
     df = make_packets(rows + end)
     path = str(tmp_path / "in")
@@ -37,6 +38,22 @@ def test_stream_flows_equal_batch(spark, make_packets, tmp_path):
     simulate.same_flows(got, simulate.flows(rows, 7.0))
 
 
+def test_late_packets_do_not_join_across_a_gap(spark, make_packets, tmp_path):
+    """A packet before the open flow by more than the gap is a flow of its own, until later ones fill the gap."""
+    path = str(tmp_path / "in")
+    one = lambda t, i: dict(tcp(t, "10.0.0.1", 5, "9.9.9.9", 80), packet_id=i, protocol=6)
+    two = lambda t, i: dict(tcp(t, "10.0.0.2", 5, "9.9.9.9", 80, 100 + i), packet_id=i, protocol=6)
+    files = [[one(100, 1), one(105, 2), two(100, 11), two(101, 12)], [one(40, 3), two(70, 13)], [two(85, 14)], [dict(one(5000, 99), src_ip="1.1.1.1")]]
+    for rows in files:
+        make_packets(rows).coalesce(1).write.mode("append").parquet(path)
+    stream = stream_packets(spark, path, delay="200 seconds", files_per_trigger=1)
+    got = {r["flow_id"]: r for r in runner.drain(stream_flows(stream, 20.0), "t-late").collect()}
+    assert {i: (r["packet_count"], r["duration"]) for i, r in got.items()} == {1: (2, 5.0), 13: (4, 31.0)}
+    want = simulate.flows([p for rows in files[:3] for p in rows], 20.0)
+    assert {i: r["packet_count"] for i, r in got.items()} == {i: r["packet_count"] for i, r in want.items()}
+    assert all(got[i]["src_bytes"] == r["src_bytes"] for i, r in want.items())
+
+
 def test_detection_stream(spark, make_packets, tmp_path):
     """Two queries end to end: flows and raw alerts, then suppressed alerts and live incidents; a restart goes on."""
     root, src = str(tmp_path / "store"), str(tmp_path / "in")
