@@ -39,10 +39,6 @@ def ipv4_number(ip: Column) -> Column:
     return F.when(is_ipv4(ip), value)
 
 
-def cidr_bounds(cidr: str) -> tuple[int, int]:
-    net = ipaddress.ip_network(cidr)
-    return int(net.network_address), int(net.broadcast_address)
-
 
 def ipv4_ranges(nets: Iterable[str]) -> list[tuple[int, int]]:
     """Bounds of the IPv4 networks in ``nets``; raises ValueError when any entry is malformed."""

@@ -43,19 +43,3 @@ def uptime_text(seconds: Column) -> Column:
         .when(mins > 0, F.format_string("%dm %ds", mins, secs))
         .otherwise(F.format_string("%ds", secs))
     )
-
-
-def hour_of(name: str) -> Column:
-    return F.hour(F.col(name))
-
-
-def day_name(name: str) -> Column:
-    return F.date_format(F.col(name), "EEEE")
-
-
-def clock_text(name: str) -> Column:
-    return F.date_format(F.col(name), "yyyy-MM-dd HH:mm:ss")
-
-
-def as_literal(moment: datetime.datetime | str) -> Column:
-    return F.lit(str(moment)).cast("timestamp_ntz")

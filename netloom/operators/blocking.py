@@ -24,8 +24,3 @@ def only_blocked(df: DataFrame, blocked: DataFrame, ip: str = "_src_ip") -> Data
 
 def without_blocked(df: DataFrame, blocked: DataFrame, ip: str = "_src_ip") -> DataFrame:
     return df.join(blocked.select(F.col("ip").alias(ip)), ip, "left_anti")
-
-
-def mark_blocked(df: DataFrame, blocked: DataFrame, ip: str = "_src_ip") -> DataFrame:
-    side = blocked.select(F.col("ip").alias("_blocked"))
-    return df.join(side, F.col(ip) == F.col("_blocked"), "left").withColumn("is_blocked", F.col("_blocked").isNotNull()).drop("_blocked")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from netloom.functions.net import cidr_length, cidr_low, ipv4_number, prefix_size, skips_enrichment
 from netloom.schemas import GEO_COLS
@@ -47,12 +48,18 @@ def locate(df: DataFrame, geo: DataFrame, ip: str = "_src_ip") -> DataFrame:
     return df.join(side, F.col(ip) == F.col("_geo_ip"), "left").drop("_geo_ip")
 
 
+SPREAD = 1000
+
+
 def enrich(df: DataFrame, blocklist: DataFrame, geo: DataFrame, ip: str = "_src_ip") -> DataFrame:
     """Location and reputation together; private and missing addresses get NULLs only."""
     skip = skips_enrichment(F.col(ip))
-    asked = df.withColumn("_ask", F.when(~skip, F.col(ip)))
+    # Rows that are not asked about may be most of all; they get keys that match nothing and spread over the partitions.
+    plain = [f.name for f in df.schema if isinstance(f.dataType, (T.StringType, T.NumericType, T.DatetimeType, T.TimestampNTZType))]
+    apart = F.concat(F.lit("-"), F.pmod(F.xxhash64(*plain), F.lit(SPREAD)).cast("string"))
+    asked = df.withColumn("_ask", F.when(~skip, F.col(ip)).otherwise(apart))
     out = locate(flag_blocklisted(asked, blocklist, "_ask"), geo, "_ask")
-    known = F.col("_ask").isNotNull()
+    known = ~skip
     return out.withColumns({
         "is_malicious": F.when(known, F.col("is_malicious")), "threat_level": F.when(known, F.col("threat_level")),
     }).drop("_ask")

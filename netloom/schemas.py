@@ -67,13 +67,11 @@ RULE_SCHEMA = _struct(
     ("enabled", _b), ("tags", T.ArrayType(_s)), ("conditions", T.ArrayType(CONDITION_TYPE)),
 )
 
-BLOCKLIST_SCHEMA = _struct(("ip", _s))
 GEO_COLS = ["lat", "lon", "country", "countryCode", "city", "isp", "asn"]
 GEO_SCHEMA = _struct(
     ("ip", _s), ("lat", _d), ("lon", _d), ("country", _s), ("countryCode", _s),
     ("city", _s), ("isp", _s), ("asn", _s),
 )
-COMMAND_SCHEMA = _struct(("ts", _ts), ("action", _s), ("ip", _s))
 RETRAIN_SCHEMA = _struct(
     ("timestamp", _l), ("n_samples", _l), ("n_attacks", _l), ("n_benign", _l), ("model_backup", _s),
 )

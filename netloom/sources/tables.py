@@ -49,23 +49,8 @@ def recent_rows(spark: SparkSession, root: str, name: str, n: int = 2000, tie: s
     return newest(read_table(spark, root, name), n, TIME_OF[name], tie)
 
 
-def recent_incidents(spark: SparkSession, root: str, n: int = 100) -> DataFrame:
-    return read_incidents(spark, root).orderBy(F.col("end_time").desc(), F.col("src_ip")).limit(n)
 
 
-def append_incidents(incidents: DataFrame, root: str, version: int) -> None:
-    """One version of each incident seen in a batch; readers take the newest version."""
-    rows = incidents.select(*[f.name for f in INCIDENT_SCHEMA]).withColumns({
-        "version": F.lit(version).cast("long"), "event_date": F.to_date("start_time")})
-    rows.write.mode("append").partitionBy("event_date").parquet(f"{root}/incidents")
-
-
-def read_incidents(spark: SparkSession, root: str) -> DataFrame:
-    """Current state: the newest version of each (source, start)."""
-    df = spark.read.option("mergeSchema", "true").parquet(f"{root}/incidents")
-    last = Window.partitionBy("src_ip", "start_time").orderBy(F.col("version").desc())
-    return df.withColumn("_r", F.row_number().over(last)).where("_r = 1").select(*[f.name for f in INCIDENT_SCHEMA])
-
 
 def clear_table(spark: SparkSession, root: str, name: str, schema: T.StructType) -> None:
     """Leaves an empty table with the same columns."""

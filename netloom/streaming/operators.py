@@ -51,8 +51,3 @@ def stream_rates(events: DataFrame, ts: str, window: str = "5 minutes", slide: s
     counted = events.groupBy(w.alias("w")).agg(F.count(F.lit(1)).alias("n"))
     secs = F.unix_timestamp("w.end") - F.unix_timestamp("w.start")
     return counted.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n", F.round(F.col("n") / secs, 6).alias("per_second"))
-
-
-def stream_timeline(alerts: DataFrame, seconds: int = 30) -> DataFrame:
-    """Alerts per tumbling bin."""
-    return alerts.groupBy(F.window("alert_ts", f"{seconds} seconds").alias("w")).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("bin"), "n")

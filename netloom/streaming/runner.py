@@ -87,9 +87,8 @@ def start_flow_sink(flows: DataFrame, root: str, checkpoint: str, cfg: DetectCon
     topics = topics or Topics()
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
+        scored = (cfg.scorer or with_rules_only_score)(batch).persist()  # models score a flow once
         try:
-            scored = (cfg.scorer or with_rules_only_score)(batch)
             rules = rule_file.current() if rule_file else cfg.rules
             write_batch(scored, root, "flows", batch_id)
             topics.publish("flow", scored)
@@ -98,7 +97,7 @@ def start_flow_sink(flows: DataFrame, root: str, checkpoint: str, cfg: DetectCon
             topics.publish("error", batch.limit(0))
             raise
         finally:
-            batch.unpersist()
+            scored.unpersist()
 
     return flows.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
@@ -106,14 +105,14 @@ def start_flow_sink(flows: DataFrame, root: str, checkpoint: str, cfg: DetectCon
 def start_alert_sink(fired: DataFrame, root: str, checkpoint: str, cfg: DetectConfig, blocklist_path: str | None = None,
                      geo_path: str | None = None, topics: Topics | None = None, **trigger) -> StreamingQuery:
     """Firing alerts -> enriched alert table and live incident table. Intel is re-read at each batch."""
-    from netloom.sources.feeds import read_geo
+    from netloom.sources.feeds import current_blocklist, read_geo
 
     topics = topics or Topics()
     spark = fired.sparkSession
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         if blocklist_path and geo_path:
-            batch = enrich(batch, spark.read.schema("ip string").parquet(blocklist_path), read_geo(spark, geo_path))
+            batch = enrich(batch, current_blocklist(spark, blocklist_path), read_geo(spark, geo_path))
         batch.persist()
         try:
             found = upsert_incidents(spark, batch, root, batch_id, cfg.incident_seconds, cfg.incident_lateness_seconds)

@@ -110,8 +110,14 @@ def test_feeds(spark, tmp_path):
     (tmp_path / "b.txt").write_text("2.2.2.2\n\n3.3.3.3\n")
     bl = feeds.read_blocklist(spark, [str(tmp_path / "a.txt"), str(tmp_path / "b.txt")])
     assert {r["ip"] for r in bl.collect()} == {"1.1.1.1", "2.2.2.2", "3.3.3.3"}
+    assert feeds.current_blocklist(spark, f"{tmp_path}/bl").count() == 0
     assert feeds.replace_blocklist(bl, f"{tmp_path}/bl") and not feeds.replace_blocklist(bl.limit(0), f"{tmp_path}/bl")
-    assert spark.read.schema("ip string").parquet(f"{tmp_path}/bl").count() == 3
+    assert bl.count() == 3
+    assert feeds.current_blocklist(spark, f"{tmp_path}/bl").count() == 3
+    assert feeds.replace_blocklist(bl.limit(1), f"{tmp_path}/bl") and feeds.current_blocklist(spark, f"{tmp_path}/bl").count() == 1
+    spark.createDataFrame([("9.9.9.9",)], "ip string").write.parquet(f"{tmp_path}/bl/version=999999999-cut")
+    (tmp_path / "bl" / "version=999999999-cut" / "_SUCCESS").unlink()  # a version that is not whole
+    assert feeds.current_blocklist(spark, f"{tmp_path}/bl").count() == 1
 
 
 def test_decode_packets(spark, tmp_path):
