@@ -24,6 +24,12 @@ from pyspark.sql import functions as F
 from netloom.llm import common
 
 ROUNDS = 8
+# Within phone numbers: single separators and brackets. After eight digits a number ends before what is a number of its own.
+_JOINT = r"[ ./-]?(?:[()][ ./-]?){0,2}"
+_OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
+_NEXT = (r"[ /-](?:(?:1[89]|2[01])[0-9]{2}[-/.][01]?[0-9][-/.][0-3]?[0-9](?![0-9])|[0-3]?[0-9][-/.][0-3]?[0-9][-/.](?:1[89]|2[01])[0-9]{2}(?![0-9])"
+         rf"|[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}(?![0-9])|(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])|[0-9]{{3}}[ .-][0-9]{{3}}[ .-][0-9]{{4}}(?![0-9])"
+         r"|[2-6][0-9]{3}[ -]?(?:[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}|[0-9]{6}[ -]?[0-9]{5})(?![0-9]))")
 # Candidates, most specific first. Repetitions of groups are bounded: the regular expression engine recurses there.
 _PATTERNS = {
     "email": r"(?<![\p{L}0-9._%+-])[\p{L}0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){1,8}",
@@ -32,8 +38,10 @@ _PATTERNS = {
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9A-Za-z])(?:[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\2[0-9]{4})(?![0-9A-Za-z])",
     "ssn": r"(?<![0-9A-Za-z])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z])",
-    "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-][0-9]{2,4}){1,4}"
-             r"|\([0-9]{3}\)[ ]?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}([-.])[0-9]{3}\3[0-9]{4})(?![0-9A-Za-z])",
+    "phone": rf"(?<![0-9A-Za-z+])(?:\+[(]?[0-9](?:{_JOINT}[0-9]){{7}}(?:(?!{_NEXT}){_JOINT}[0-9]){{0,7}}"
+             rf"|00[1-9](?:{_JOINT}[0-9]){{7}}(?:(?!{_NEXT}){_JOINT}[0-9]){{0,7}}"
+             rf"|\((?!(?:1[5-9]|20)[0-9]{{2}}\))[0-9]{{2,5}}\)(?:(?!{_NEXT})[ ./-]?[0-9]){{5,10}}|[0-9]{{3}}([ .-])[0-9]{{3}}\3[0-9]{{4}}"
+             rf"|0[1-9][0-9]{{0,4}}(?!{_NEXT})[ /-][0-9](?:(?!{_NEXT})[ ./-]?[0-9]){{5,9}})(?![0-9A-Za-z])",
     "card": r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])",
 }
 CANDIDATE = "|".join(_PATTERNS.values())
@@ -143,10 +151,11 @@ class _Sql:
         return _let("split(m, '[-/.]')", "o", f"coalesce({first}, m)")
 
     def phone(self) -> str:
-        """The country code stays; national digits are permuted, the same with and without it."""
-        code = "if(left(m, 1) = '+', coalesce(nullif(regexp_extract(m, '^[+]([0-9]{1,3})[ .(-]', 1), ''), substr(m, 2, 2)), '')"
+        """The country code after a plus sign stays; national digits are permuted, the same with and without it."""
+        code = ("if(left(m, 1) = '+', substr(n, 1, case when n rlike '^[17]' then 1 "
+                "when n rlike '^(2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])' then 2 else 3 end), '')")
         body = self.refilled("m", f"concat(y, {self.digits('substr(n, length(y) + 1)', 'phone')})")
-        return _let(self.only_digits("m"), "n", f"if(length(n) between 8 and 15, {_let(code, 'y', body)}, m)")
+        return _let(self.only_digits("m"), "n", f"if(length(n) between if(left(m, 1) = '0', 9, 8) and if(left(m, 2) = '00', 17, 15), {_let(code, 'y', body)}, m)")
 
     def email(self) -> str:
         return f"concat('u', substr({self.digest('email', 'lower(m)')}, 1, 12), '@example.org')"
@@ -160,7 +169,7 @@ class _Sql:
         """The pseudonym of candidate m, or m itself if it fails its check."""
         kinds = [("contains(m, '@')", self.email()), ("m rlike '^[A-Z]{2}[0-9]{2}[ A-Z0-9]{11,}$'", self.iban()), ("m rlike '^[0-9A-Fa-f]{32,}$'", self.secret()),
                  ("m rlike '^([0-9]{1,3}[.]){3}[0-9]{1,3}$'", self.ip()), ("m rlike '^([0-9]{4}[-/.][0-9]{1,2}|[0-9]{1,2}[-/.][0-9]{1,2})[-/.][0-9]{1,4}$'", self.date()),
-                 ("m rlike '^[0-9]{3}-[0-9]{2}-[0-9]{4}$'", self.ssn()), ("m rlike '^([+(]|[0-9]{3}[-.][0-9]{3}[-.][0-9]{4}$)'", self.phone())]
+                 ("m rlike '^[0-9]{3}-[0-9]{2}-[0-9]{4}$'", self.ssn()), ("m rlike '^([+(]|00?[1-9][0-9]*[ ./()-]|00[1-9][0-9]+$|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}$)'", self.phone())]
         return "case " + " ".join(f"when {test} then {value}" for test, value in kinds) + f" else {self.card()} end"
 
 

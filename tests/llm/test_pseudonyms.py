@@ -74,3 +74,30 @@ def test_awkward_rows(docs):
 def test_no_python_in_the_plan(docs):
     plan = pseudonyms.pseudonymise(docs(AWKWARD), "k")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+PHONES = ["+14155552671", "+33 6 12 34 56 78", "+49 30 1234567", "+49 (0)30/1234567", "415 555 2671", "(030) 1234567", "(415) 555-2671", "(02) 9876 5432", "030 1234567",
+          "06 12 34 56 78", "0049 30 1234567", "0044 (0)20 7946 0958", "+1 (389) 555-5010"]
+
+
+def test_phone_numbers_of_every_shape(docs):
+    rows = [(k, v) for k, v in enumerate(PHONES)] + [(100, f"call {', '.join(PHONES)} now")]
+    found = {r["doc_id"]: r for r in pseudonyms.pseudonymise(docs(rows), "k1").collect()}
+    new = [found[k]["text"] for k in range(len(PHONES))]
+    for old, value in zip(PHONES, new, strict=True):
+        assert value != old and re.sub(r"\d", "0", value) == re.sub(r"\d", "0", old), (old, value)
+    assert (found[100]["text"], found[100]["n_replaced"]) == (f"call {', '.join(new)} now", len(PHONES))
+    assert [v[:3] for v in new[:4]] == ["+1" + new[0][2], "+33", "+49", "+49"]  # country codes stay
+    # the same number in other shapes
+    digits = {old: re.sub(r"\D", "", v) for old, v in zip(PHONES, new, strict=True)}
+    assert digits["+14155552671"][1:] == digits["415 555 2671"] == digits["(415) 555-2671"]
+
+
+def test_phone_numbers_end_before_other_numbers(docs):
+    others = ["4111 1111 1111 1111", "078-05-1120", "1987-03-25", "192.168.0.17", "389 555 5010"]
+    rows = [(k, f"+49 30 1234567 {v}") for k, v in enumerate(others)] + [(10 + k, v) for k, v in enumerate(others)] + [(20, "+49 30 1234567")]
+    rows += [(30, "(1998) 123-145; +1234; 12 34 56; 1 234 567; 01-32-2003")]
+    found = {r["doc_id"]: r["text"] for r in pseudonyms.pseudonymise(docs(rows), "k1").collect()}
+    for k in range(len(others)):
+        assert found[k] == f"{found[20]} {found[10 + k]}"
+    assert found[30] == rows[-1][1]
