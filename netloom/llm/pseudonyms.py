@@ -27,13 +27,19 @@ ROUNDS = 8
 # Within phone numbers: single separators and brackets. After eight digits a number ends before what is a number of its own.
 _JOINT = r"[ ./-]?(?:[()][ ./-]?){0,2}"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
-_NEXT = (r"[ /-](?:(?:1[89]|2[01])[0-9]{2}[-/.][01]?[0-9][-/.][0-3]?[0-9](?![0-9])|[0-3]?[0-9][-/.][0-3]?[0-9][-/.](?:1[89]|2[01])[0-9]{2}(?![0-9])"
-         rf"|[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}(?![0-9])|(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])|[0-9]{{3}}[ .-][0-9]{{3}}[ .-][0-9]{{4}}(?![0-9])"
+_OTHER = (r"(?:1[89]|2[01])[0-9]{2}[-/.][01]?[0-9][-/.][0-3]?[0-9](?![0-9])|[0-3]?[0-9][-/.][0-3]?[0-9][-/.](?:1[89]|2[01])[0-9]{2}(?![0-9])"
+          rf"|[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}(?![0-9])|(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])|[0-9]{{3}}[ .-][0-9]{{3}}[ .-][0-9]{{4}}(?![0-9])")
+_NEXT = (rf"[ /-](?:{_OTHER}"
          r"|[2-6][0-9]{3}[ -]?(?:[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}|[0-9]{6}[ -]?[0-9]{5})(?![0-9]))")
-# Candidates, most specific first. Repetitions of groups are bounded: the regular expression engine recurses there.
+# Characters of an IBAN by country; those of other countries may have 15 to 34.
+_IBAN_LENGTHS = {15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+                 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+                 26: "IS TR", 27: "BI DJ FR GR IT MC SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+                 31: "MT SC", 33: "RU", 32: "LC"}
+# Candidates, most specific first. Repetitions of groups are bounded or possessive: the regular expression engine recurses in others.
+# A run is a stretch of groups that may hold cards and IBANs beside other digits and capitals.
 _PATTERNS = {
     "email": r"(?<![\p{L}0-9._%+-])[\p{L}0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){1,8}",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
     "secret": r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![A-Za-z0-9])",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9A-Za-z])(?:[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\2[0-9]{4})(?![0-9A-Za-z])",
@@ -42,7 +48,8 @@ _PATTERNS = {
              rf"|00[1-9](?:{_JOINT}[0-9]){{7}}(?:(?!{_NEXT}){_JOINT}[0-9]){{0,7}}"
              rf"|\((?!(?:1[5-9]|20)[0-9]{{2}}\))[0-9]{{2,5}}\)(?:(?!{_NEXT})[ ./-]?[0-9]){{5,10}}|[0-9]{{3}}([ .-])[0-9]{{3}}\3[0-9]{{4}}"
              rf"|0[1-9][0-9]{{0,4}}(?!{_NEXT})[ /-][0-9](?:(?!{_NEXT})[ ./-]?[0-9]){{5,9}})(?![0-9A-Za-z])",
-    "card": r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])",
+    "run": rf"(?<![0-9A-Za-z])(?:[2-6]|[A-Z]{{2}}[0-9]{{2}})(?=(?:[ -]?[A-Z0-9]){{10}})[A-Z0-9]*+(?![a-z@_%+])"
+           rf"(?:(?![ -](?:{_OTHER}|[0-9A-F]{{32,64}}(?![A-Za-z0-9])|[A-Z0-9._%+-]++@))[ -][A-Z0-9]++(?![a-z@_%+]))*+",
 }
 CANDIDATE = "|".join(_PATTERNS.values())
 
@@ -108,17 +115,44 @@ class _Sql:
                 "if(c between '0' and '9', (t * 10 + cast(c as bigint)) % 97, (t * 100 + ascii(c) - 55) % 97)))")
 
     def card(self) -> str:
-        good = f"(substr(n, 1, 1) between '2' and '6' and {self.luhn('substr(n, 1, length(n) - 1)')} = right(n, 1))"
         fresh = f"concat(substr(n, 1, 1), {self.digits('substr(n, 2, length(n) - 2)', 'card')})"
-        done = _let(fresh, "f", self.refilled("m", f"concat(f, {self.luhn('f')})"))
-        return _let(self.only_digits("m"), "n", f"if({good}, {done}, m)")
+        return _let(self.only_digits("m"), "n", _let(fresh, "f", self.refilled("m", f"concat(f, {self.luhn('f')})")))
 
     def iban(self) -> str:
-        bare = "replace(m, ' ', '')"
         body = _let(self.only_digits("substr(n, 5)"), "e", _let(self.digits("e", "iban"), "f", _let(
             self.refilled("substr(n, 5)", "f"), "g", _let(
                 f"lpad(cast(98 - {self.remainder97("concat(substr(n, 1, 2), '00', g)")} as string), 2, '0')", "k", self.refilled("m", "concat(k, f)")))))
-        return _let(bare, "n", f"if(length(n) between 15 and 34 and {self.remainder97('n')} = 1, {body}, m)")
+        return _let("translate(m, ' -', '')", "n", body)
+
+    def run(self) -> str:
+        """(t, n): the run with each card and IBAN replaced, and the number of those that changed.
+
+        Readings begin and end at the borders of groups. Of readings that overlap, those of a usual length (the
+        country's, the card scheme's; cards in usual groups before others) go first, then the leftmost, then the longest.
+        """
+        listed = " ".join(f"when substr(x, 1, 2) in ({', '.join(repr(c) for c in codes.split())}) then {n}" for n, codes in _IBAN_LENGTHS.items())
+        usual = ("case when x rlike '^4' then length(x) in (13, 16, 19) when x rlike '^3[47]' then length(x) = 15 when x rlike '^3[0689]' then length(x) = 14 "
+                 "when x rlike '^6' then length(x) between 16 and 19 else length(x) = 16 end")
+        grouped = "^([0-9]{4}[ -]?){3}[0-9]{1,4}[ -]?([0-9]{3}[ -]?)?$|^[0-9]{4}[ -]?[0-9]{6}[ -]?[0-9]{4,5}[ -]?$"
+        good_iban = f"length(x) = coalesce(case {listed} end, length(x)) and {self.remainder97('x')} = 1"
+        good_card = f"{self.luhn('substr(x, 1, length(x) - 1)')} = right(x, 1)"
+        rank = (f"case when x rlike '^[2-6][0-9]{{12,18}}$' then if({good_card}, if({usual}, if(raw rlike '{grouped}', 0, 1), 2), 3) "
+                f"when x rlike '^[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}}$' then if({good_iban}, if(case {listed} end is null, 2, 0), 3) else 3 end")
+        one = f"named_struct('rank', {rank}, 'i', ri, 'nj', -rj)"
+        reading = _let("array_join(slice(tok, ri, rj - ri + 1), '')", "raw", _let("translate(raw, ' -', '')", "x", one))
+        starts = "filter(sequence(1, size(tok)), ri -> tok[ri - 1] rlike '^([2-6]|[A-Z]{2}[0-9]{2})')"
+        readings = f"filter(flatten(transform({starts}, ri -> transform(sequence(ri, least(ri + 30, size(tok))), rj -> {reading}))), rr -> rr.rank < 3)"
+        chosen = (f"aggregate(array_sort({readings}), cast(array() as array<struct<rank:int,i:int,nj:int>>), "
+                  "(ch, rr) -> if(exists(ch, e -> e.i <= -rr.nj and rr.i <= -e.nj), ch, concat(ch, array(rr))))")
+        number = _let("regexp_replace(array_join(slice(tok, here.i, 1 - here.nj - here.i), ''), '[ -]$', '')", "m", f"if(m rlike '^[A-Z]', {self.iban()}, {self.card()})")
+        changed = _let("array_join(slice(tok, here.i, 1 - here.nj - here.i), '')", "old", _let(
+            number, "new", "named_struct('t', concat(new, substr(old, length(new) + 1)), 'n', if(startswith(old, new), 0, 1))"))
+        part = _let("get(filter(ch, e -> e.i <= ti and ti <= -e.nj), 0)", "here",
+                    f"case when here is null then named_struct('t', tok[ti - 1], 'n', 0) when here.i = ti then {changed} else named_struct('t', '', 'n', 0) end")
+        parts = f"transform(sequence(1, size(tok)), ti -> {part})"
+        whole = _let(parts, "p", "named_struct('t', array_join(p.t, ''), 'n', aggregate(p.n, 0, (a, b) -> a + b))")
+        return _let("regexp_extract_all(m, '[A-Z0-9]+[ -]?', 0)", "tok", _let(
+            chosen, "ch", f"if(size(ch) = 0, named_struct('t', m, 'n', 0), {whole})"))
 
     def ssn(self) -> str:
         area, group, serial = "cast(substr(m, 1, 3) as int)", "cast(substr(m, 5, 2) as int)", "cast(substr(m, 8, 4) as int)"
@@ -166,11 +200,13 @@ class _Sql:
         return f"if(m rlike '[0-9]' and m rlike '[A-Fa-f]', if(m = upper(m), upper({fresh}), {fresh}), m)"
 
     def pseudonym(self) -> str:
-        """The pseudonym of candidate m, or m itself if it fails its check."""
-        kinds = [("contains(m, '@')", self.email()), ("m rlike '^[A-Z]{2}[0-9]{2}[ A-Z0-9]{11,}$'", self.iban()), ("m rlike '^[0-9A-Fa-f]{32,}$'", self.secret()),
+        """(t, n) of candidate m: its pseudonym, or m itself if it fails its check, and the number of replaced values."""
+        kinds = [("contains(m, '@')", self.email()), ("m rlike '^([0-9a-f]{32,}|[0-9A-F]{32,})$'", self.secret()),
                  ("m rlike '^([0-9]{1,3}[.]){3}[0-9]{1,3}$'", self.ip()), ("m rlike '^([0-9]{4}[-/.][0-9]{1,2}|[0-9]{1,2}[-/.][0-9]{1,2})[-/.][0-9]{1,4}$'", self.date()),
-                 ("m rlike '^[0-9]{3}-[0-9]{2}-[0-9]{4}$'", self.ssn()), ("m rlike '^([+(]|00?[1-9][0-9]*[ ./()-]|00[1-9][0-9]+$|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}$)'", self.phone())]
-        return "case " + " ".join(f"when {test} then {value}" for test, value in kinds) + f" else {self.card()} end"
+                 ("m rlike '^[0-9]{3}-[0-9]{2}-[0-9]{4}$'", self.ssn()),
+                 ("m rlike '^([+(]|00?[1-9][0-9]*[ ./()-]|00[1-9][0-9]+$|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}$)'", self.phone())]
+        value = "case " + " ".join(f"when {test} then {value}" for test, value in kinds) + " end"
+        return _let(value, "new", f"if(new is null, {self.run()}, named_struct('t', new, 'n', if(new = m, 0, 1)))")
 
 
 def pseudonymise(docs: DataFrame, key: str, text: str = common.TEXT, ident: str = common.ID) -> DataFrame:
@@ -184,6 +220,6 @@ def pseudonymise(docs: DataFrame, key: str, text: str = common.TEXT, ident: str
     rows = rows.withColumn("fresh", F.expr(f"transform(found, m -> {_Sql(key).pseudonym()})"))
     gaps = F.split("content", CANDIDATE, -1)
     # Gaps and candidates alternate, with a gap at either end.
-    joined = F.array_join(F.zip_with(gaps, "fresh", lambda gap, new: F.concat(gap, F.coalesce(new, F.lit("")))), "")
-    changed = F.aggregate(F.zip_with("found", "fresh", lambda a, b: F.when(a != b, 1).otherwise(0)), F.lit(0), lambda n, x: n + x)
+    joined = F.array_join(F.zip_with(gaps, F.col("fresh.t"), lambda gap, new: F.concat(gap, F.coalesce(new, F.lit("")))), "")
+    changed = F.aggregate(F.col("fresh.n"), F.lit(0), lambda n, x: n + x)
     return rows.select("doc_id", F.when(F.size("found") > 0, joined).otherwise(F.col("content")).alias("text"), changed.alias("n_replaced"))

@@ -101,3 +101,27 @@ def test_phone_numbers_end_before_other_numbers(docs):
     for k in range(len(others)):
         assert found[k] == f"{found[20]} {found[10 + k]}"
     assert found[30] == rows[-1][1]
+
+
+CARD, IBAN = "4111 1111 1111 1111", "DE89 3704 0044 0532 0130 00"
+BESIDE = ["{} 123", "{} 12/27", "17 {}", "17-{}", "{} EUR 500", "{} 2024", "EUR 500 {} VISA 12", "AB12 {} 99", "20 71 72 73 74 75 76 79 78 81 82 83 84 85 86 87 88 89 91 {} 25", "5 123 {}"]
+NEIGHBOURS = ["2024-01-05", "192.168.0.17", "078-05-1120", "415 555 2671", "JOE.X@mail.example.com", "GB29NWBK60161331926819", "5500005555555559", "378282246310005"]
+
+
+def test_cards_and_ibans_beside_other_numbers(docs):
+    values = [CARD, IBAN, CARD.replace(" ", ""), IBAN.replace(" ", "")]
+    rows = [(k, v) for k, v in enumerate(values + NEIGHBOURS)]
+    rows += [(1000 + 100 * i + k, shape.format(v)) for i, v in enumerate(values) for k, shape in enumerate(BESIDE)]
+    rows += [(2000 + 100 * i + k, f"{v} {n}") for i, v in enumerate(values) for k, n in enumerate(NEIGHBOURS)]
+    rows += [(3000, f"{CARD} {IBAN} {CARD}"), (3001, "12 " * 20_000 + CARD), (3002, "A1 " * 20_000 + IBAN + " 7B" * 20_000)]
+    found = {r["doc_id"]: r for r in pseudonyms.pseudonymise(docs(rows), "k1").collect()}
+    new = [found[k]["text"] for k in range(len(values))]
+    assert all(a != b for a, b in zip(values, new, strict=True))
+    for i in range(len(values)):
+        for k, shape in enumerate(BESIDE):
+            assert (found[1000 + 100 * i + k]["text"], found[1000 + 100 * i + k]["n_replaced"]) == (shape.format(new[i]), 1)
+        for k in range(len(NEIGHBOURS)):
+            assert (found[2000 + 100 * i + k]["text"], found[2000 + 100 * i + k]["n_replaced"]) == (f"{new[i]} {found[len(values) + k]['text']}", 2)
+    assert (found[3000]["text"], found[3000]["n_replaced"]) == (f"{new[0]} {new[1]} {new[0]}", 3)
+    assert found[3001]["text"] == "12 " * 20_000 + new[0]
+    assert found[3002]["text"] == "A1 " * 20_000 + new[1] + " 7B" * 20_000
