@@ -1,7 +1,8 @@
 """Conversations as training windows within a token budget.
 
-A conversation is cut into stretches of ``STRETCH`` turn numbers; a stretch is a bounded group, whatever the
-length of the conversation, and windows never cross its border. Within it, prefix sums of turn tokens choose
+A conversation is cut into stretches of ``STRETCH`` turn numbers, and a stretch that has more rows or longer texts
+than ``PIECE_ROWS`` and ``PIECE_CHARS`` (repeated or missing turn numbers) into pieces as its sorted rows pass by.
+A worker holds one piece, whatever the length of the conversation, and windows never cross its border. Within it, prefix sums of turn tokens choose
 turn-aligned windows: each holds the conversation's system turn (if its first turn is one), a limited number
 of turns before the window, and as many new turns as fit. Repeated turns are masked: an assistant turn is
 under the loss mask once, in the window where it is new.
@@ -17,6 +18,7 @@ stands alone with the system turn; an empty table gives no windows; other column
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -32,7 +34,9 @@ _OPEN, _ROLE_END, _CLOSE = "<s>[INST] ", " [/INST]\n", "\n</s>\n"
 _ANY = "|".join(map(re.escape, CONTROLS))
 _PLAIN, _ESCAPED = re.compile(rf"(\\*)({_ANY})"), re.compile(rf"(\\+)({_ANY})")
 STRETCH, TURN_TOKENS = 256, 16  # turn numbers in a stretch; tokens of a turn's template
+PIECE_ROWS, PIECE_CHARS = 1024, 8 << 20
 _WINDOWS = "conv_id long, stretch long, window int, formatted string, repeated int, loss array<struct<start:int,end:int>>, n_tokens long"
+_DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
 def escape(text: str) -> str:
@@ -104,32 +108,50 @@ def windows(conversations: DataFrame, tokenizer: str, ranks: str | None = None,
         encoder = bytebpe.encoder(tokenizer, ranks)
         done: list[tuple] = []
 
-        def close(key, group):
+        def close(key, group, number):
             begins, system = group[0][0] == -1, [g[1:] for g in group if g[0] == 0]
             turns, new_from = [g[1:] for g in group if g[0] > 0], sum(g[0] == 1 for g in group)
             tokens = np.array([encoder.count(text) + TURN_TOKENS for _, text in system + turns])
             fixed = int(tokens[0]) if begins or system else 0
             tokens = tokens[len(system) :]
-            for number, (back, start, end) in enumerate(_spans(tokens, new_from, fixed, budget, history)):
+            chars = 0
+            for back, start, end in _spans(tokens, new_from, fixed, budget, history):
                 lead = system or (turns[:1] if begins and back > 0 else [])
                 repeated = len(lead) + start - back
                 text, loss = render(lead + turns[back:end], repeated)
                 done.append((*key, number, text, repeated, loss, int(tokens[back:end].sum()) + (fixed if lead else 0)))
-
-        key, group = None, []
+                number += 1
+                chars += len(text)
+                if chars >= PIECE_CHARS:
+                    yield _window_batch(done)
+                    done.clear()
+                    chars = 0
+            return number
+
+        key, group, own, chars, number = None, [], 0, 0, 0
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("conv_id", "stretch", "kind", "role", "content")]
             for conv, stretch, kind, role, content in zip(*columns, strict=True):
-                if (conv, stretch) != key and group:
-                    close(key, group)
-                    group = []
+                if (conv, stretch) != key:
+                    if group:
+                        yield from close(key, group, number)
+                    group, own, chars, number = [], 0, 0, 0
+                elif own and (own >= PIECE_ROWS or chars + len(content) > PIECE_CHARS):
+                    number = yield from close(key, group, number)
+                    turns = [g[1:] for g in group if g[0] > 0]
+                    group = [(0, *g[1:]) for g in group[:1] if g[0] < 1] + [(1, *t) for t in turns[max(0, len(turns) - history) :]]
+                    own, chars = 0, 0
                 key = (conv, stretch)
                 group.append((kind, role, content))
+                if kind == 1 and sum(g[0] == 1 for g in group) > history:  # only the last ones are ever repeated
+                    del group[-history - 1]
+                own += kind == 2
+                chars += len(content) * (kind == 2)
             if done:
                 yield _window_batch(done)
                 done.clear()
         if group:
-            close(key, group)
+            yield from close(key, group, number)
         if done:
             yield _window_batch(done)
 
@@ -148,8 +170,8 @@ def _window_batch(rows: list[tuple]) -> pa.RecordBatch:
 def read_back(found: DataFrame) -> DataFrame:
     """Per conversation, from the windows alone: n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
 
-    Both digests run over a whole conversation in order, so its texts meet in one row here; nothing in
-    :func:`windows` does that.
+    Both digests run over a whole conversation in order: its sorted windows stream through one task, which holds one
+    batch of them and the two digests.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,9 +186,32 @@ def read_back(found: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pydict(columns)
 
     parts = found.mapInArrow(read, "conv_id long, stretch long, window int, n_turns long, turns string, loss string, chars long")
-    ordered = F.array_sort(F.collect_list(F.struct("stretch", "window", "turns", "loss")))
-    whole = parts.groupBy("conv_id").agg(
-        F.sum("n_turns").alias("n_turns"), ordered.alias("p"), F.sum(F.length("loss")).alias("loss_chars"), F.sum("chars").alias("formatted_chars"))
-    return whole.select(
-        "conv_id", "n_turns", F.sha2(F.array_join(F.col("p.turns"), ""), 256).alias("turns_sha256"), "loss_chars",
-        F.sha2(F.array_join(F.col("p.loss"), ""), 256).alias("loss_sha256"), "formatted_chars")
+    dealt = parts.repartition("conv_id").sortWithinPartitions("conv_id", "stretch", "window")
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, done = None, []
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "n_turns", "turns", "loss", "chars")), strict=True):
+                conv, n, turns, loss, chars = row
+                if now is None or now[0] != conv:
+                    if now:
+                        done.append(now)
+                    now = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                now[1] += n
+                now[2].update(turns.encode())
+                now[3] += len(loss)
+                now[4].update(loss.encode())
+                now[5] += chars
+            if done:
+                yield _digest_batch(done)
+                done.clear()
+        if now:
+            yield _digest_batch([now])
+
+    return dealt.mapInArrow(digest, _DIGESTS)
+
+
+def _digest_batch(rows: list[list]) -> pa.RecordBatch:
+    columns = [[x.hexdigest() if k in (2, 4) else x for x in c] for k, c in enumerate(zip(*rows, strict=True))]
+    kinds = [pa.string() if k in (2, 4) else pa.int64() for k in range(6)]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [c.split()[0] for c in _DIGESTS.split(", ")])

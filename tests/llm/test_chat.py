@@ -61,3 +61,22 @@ def test_windows_keep_system_history_and_budget(spark, vocab):
         assert w["repeated"] <= 3 and len(turns) > w["repeated"]
         assert w["n_tokens"] <= BUDGET or len(turns) - w["repeated"] == 1
         assert len(w["loss"]) == sum(role == "assistant" for role, _ in turns[w["repeated"] :])
+
+
+def test_hot_keys_are_cut_into_pieces(spark, vocab):
+    rows = [(None, None, "system", "be brief")] + [(None, None, "user", f"text {i:05d}") for i in range(3000)] + [(5, 7, "assistant", f"t{i:05d}") for i in range(2500)]
+    rows += [(5, 256, "user", "next stretch"), (6, -1, "user", "a")] + [(6, -1, "user", f"b{i:05d}") for i in range(2000)] + [(6, 3, "assistant", "c")]
+    found = chat.windows(_frame(spark, rows), *vocab, budget=10**9, history=2)
+    sizes = [len(chat.parse(w["formatted"])) for w in found.collect()]
+    assert max(sizes) <= chat.PIECE_ROWS + 3
+    back = chat.read_back(found)
+    plan = back._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan
+    result = {r["conv_id"]: r for r in back.collect()}
+    for conv in (None, 5, 6):
+        turns = sorted((-1 if t is None else t, role, text) for c, t, role, text in rows if c == conv)
+        assert result[conv]["n_turns"] == len(turns)
+        assert result[conv]["turns_sha256"] == hashlib.sha256("".join(f"{a}\n{b}\n" for _, a, b in turns).encode()).hexdigest()
+        assert result[conv]["loss_sha256"] == hashlib.sha256("".join(t for _, role, t in turns if role == "assistant").encode()).hexdigest()
+    cut = [w for w in found.collect() if w["conv_id"] == 5 and w["stretch"] == 0]
+    assert sorted(w["window"] for w in cut) == [0, 1, 2] and sorted(w["repeated"] for w in cut) == [0, 2, 2]
