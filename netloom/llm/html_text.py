@@ -6,8 +6,8 @@ the terminal capacities. Smoothness edges join neighbouring blocks, the more the
 document tree, and successive blocks of one parent. The minimum cut separates content from boilerplate.
 
 Defined results: NULL and empty pages give empty text; unclosed comments, scripts and tags end with the page;
-a "<" that begins no tag is text; NULL identifiers and repeated rows are kept as they are; an empty table gives
-an empty result; other columns play no part. Each page is taken whole, in one task; pages are not shuffled.
+a self-closed svg is empty; a "<" that begins no tag is text; NULL identifiers and repeated rows are kept as they
+are; an empty table gives an empty result; other columns play no part. Each page is taken whole, in one task; pages are not shuffled.
 """
 
 from __future__ import annotations
@@ -23,9 +23,13 @@ from pyspark.sql import functions as F
 from netloom.llm import common
 from netloom.llm.mincut import label
 
+# After a tag's name. A quotation mark opens a value only behind an equals sign; one that is never closed is part of a name.
+_ATTRIBUTES = r"""(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|(?!["'])[^\s>]++)?+)?+)*+"""
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|noscript|iframe|template|svg|select)\b.*?(?:</\1\s*>|\Z)"
-    r"|</?[a-z](?:[^>\"']|\"[^\"]{0,4096}\"|'[^']{0,4096}')*+>|</?[a-z][^>]*(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S | re.I)
+    rf"<!--.*?(?:-->|\Z)|<svg(?=[\s/>]){_ATTRIBUTES}(?<=/)>"
+    rf"|<(script|style|textarea|title|noscript|iframe|template|svg|select)(?=[\s/>]){_ATTRIBUTES}(?:>.*?(?:</\1(?=[\s/>])[^>]*+>|\Z)|\Z)"
+    rf"|</?[a-z][^\s/>]*+{_ATTRIBUTES}(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S | re.I)
+_QUOTED = re.compile(r"=\s*(?:\"[^\"]*\"|'[^']*')")
 _NAME = re.compile(r"</?([a-z][^\s/>]*)", re.I)
 _ATTRIBUTE = re.compile(r"([a-z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HINT = re.compile(r"[a-z]+")
@@ -71,7 +75,7 @@ def _open(tag: str, source: str, parent: _Node) -> _Node:
                 words.update(_HINT.findall(_CAMEL.sub(" ", _NOT_IT.sub(" ", value)).lower()))
             elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value) or name == "aria-hidden" and value == "true":
                 words.add("hidden")
-        if re.search(r"\shidden[\s/>]", source):
+        if re.search(r"\shidden[\s/>]", _QUOTED.sub("= ", source)):
             words.add("hidden")
         if tag not in ("html", "body"):  # words there describe the whole page
             if words & _WORSE:

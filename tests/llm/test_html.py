@@ -57,3 +57,26 @@ def test_adversarial_markup_ends_quickly():
     html_text.main_text("<a \"" * 3000)
     html_text.main_text("<div>" * 3000 + "x")
     html_text.main_text("<p>a<b>" * 3000)
+
+
+FILL = "a > b <p>leaked</p> hidden " * 400  # over 10,000 characters
+TAGS = {
+    "long attribute": f'<article><div data-state="{FILL}"><p>{LONG}</p></div></article>',
+    "long attribute in single quotes": f"<article data-state='{FILL}'><p>{LONG}</p></article>",
+    "markup in an attribute of a skipped element": f'<article><p>{LONG}</p><iframe srcdoc="{FILL}</iframe>{FILL}"></iframe></article>',
+    "self-closed svg": f'<svg width=1 data-x="a>b" /><article><p><svg/>{LONG}</p></article>',
+    "svg": f"<article><svg><text>no</text></svg ><p>{LONG}</p></article>",
+    "custom elements": f"<title-bar>x</title-bar><template-part><select-box><style-guide><article><p>{LONG}</p></article>",
+    "closing tag of another element": f"<title>no</title-bar>no</title><article><p>{LONG}</p></article>",
+    "apostrophe without value": f"<article><p id=o'neil it's>{LONG}</p></article>",
+}
+
+
+@pytest.mark.parametrize("name", TAGS)
+def test_tags_are_recognised_whole(name):
+    assert html_text.main_text(TAGS[name]) == LONG.strip()
+
+
+def test_open_tags_end_quickly():
+    assert html_text.main_text('<a b=">" ' * 100_000) == ""
+    assert html_text.main_text(f"<article><p>{LONG}</p>" + "<i x='" * 50_001) == LONG.strip()
