@@ -51,6 +51,8 @@ _PATTERNS = {
     "run": rf"(?<![0-9A-Za-z])(?:[2-6]|[A-Z]{{2}}[0-9]{{2}})(?=(?:[ -]?[A-Z0-9]){{10}})[A-Z0-9]*+(?![a-z@_%+])"
            rf"(?:(?![ -](?:{_OTHER}|[0-9A-F]{{32,64}}(?![A-Za-z0-9])|[A-Z0-9._%+-]++@))[ -][A-Z0-9]++(?![a-z@_%+]))*+",
 }
+# Phone numbers in what is left of a run.
+_LEFT_PHONE = r"(?<![0-9A-Z])(?:00[1-9](?:[ -]?[0-9]){7,14}|0[1-9][0-9]{0,4}[ -][0-9](?:[ -]?[0-9]){5,9})(?![0-9A-Z])"
 CANDIDATE = "|".join(_PATTERNS.values())
 
 
@@ -147,12 +149,22 @@ class _Sql:
         number = _let("regexp_replace(array_join(slice(tok, here.i, 1 - here.nj - here.i), ''), '[ -]$', '')", "m", f"if(m rlike '^[A-Z]', {self.iban()}, {self.card()})")
         changed = _let("array_join(slice(tok, here.i, 1 - here.nj - here.i), '')", "old", _let(
             number, "new", "named_struct('t', concat(new, substr(old, length(new) + 1)), 'n', if(startswith(old, new), 0, 1))"))
+        left = _let("array_join(slice(tok, ti, coalesce(array_min(transform(filter(ch, e -> e.i > ti), e -> e.i)), size(tok) + 1) - ti), '')", "rest", self.left_phones())
         part = _let("get(filter(ch, e -> e.i <= ti and ti <= -e.nj), 0)", "here",
-                    f"case when here is null then named_struct('t', tok[ti - 1], 'n', 0) when here.i = ti then {changed} else named_struct('t', '', 'n', 0) end")
+                    f"case when here.i = ti then {changed} when here is null and (ti = 1 or exists(ch, e -> -e.nj = ti - 1)) then {left} "
+                    "else named_struct('t', '', 'n', 0) end")
         parts = f"transform(sequence(1, size(tok)), ti -> {part})"
         whole = _let(parts, "p", "named_struct('t', array_join(p.t, ''), 'n', aggregate(p.n, 0, (a, b) -> a + b))")
         return _let("regexp_extract_all(m, '[A-Z0-9]+[ -]?', 0)", "tok", _let(
-            chosen, "ch", f"if(size(ch) = 0, named_struct('t', m, 'n', 0), {whole})"))
+            chosen, "ch", f"if(size(ch) = 0, {_let('m', 'rest', self.left_phones())}, {whole})"))
+
+    def left_phones(self) -> str:
+        """(t, n) of ``rest``, a part of a run without cards and IBANs."""
+        pattern = _quoted(_LEFT_PHONE)
+        fresh = _let(f"regexp_extract_all(rest, {pattern}, 0)", "was", _let(f"transform(was, m -> {self.phone()})", "now", (
+            f"named_struct('t', array_join(zip_with(split(rest, {pattern}, -1), now, (ga, ne) -> concat(ga, coalesce(ne, ''))), ''), "
+            "'n', aggregate(zip_with(was, now, (a, b) -> if(a = b, 0, 1)), 0, (a, b) -> a + b))")))
+        return f"if(rest rlike '(^|[ -])0[0-9]', {fresh}, named_struct('t', rest, 'n', 0))"
 
     def ssn(self) -> str:
         area, group, serial = "cast(substr(m, 1, 3) as int)", "cast(substr(m, 5, 2) as int)", "cast(substr(m, 8, 4) as int)"

@@ -125,3 +125,13 @@ def test_cards_and_ibans_beside_other_numbers(docs):
     assert (found[3000]["text"], found[3000]["n_replaced"]) == (f"{new[0]} {new[1]} {new[0]}", 3)
     assert found[3001]["text"] == "12 " * 20_000 + new[0]
     assert found[3002]["text"] == "A1 " * 20_000 + new[1] + " 7B" * 20_000
+
+
+def test_phone_numbers_in_what_is_left_of_a_run(docs):
+    phones = ["030 1234567", "06 12 34 56 78", "0049 30 1234567"]
+    rows = [(k, v) for k, v in enumerate([*phones, CARD])]
+    rows += [(10 + k, f"2024 {v}") for k, v in enumerate(phones)] + [(20 + k, f"{CARD} {v} EUR 5") for k, v in enumerate(phones)]
+    found = {r["doc_id"]: (r["text"], r["n_replaced"]) for r in pseudonyms.pseudonymise(docs(rows), "k1").collect()}
+    for k in range(len(phones)):
+        assert found[10 + k] == (f"2024 {found[k][0]}", 1)
+        assert found[20 + k] == (f"{found[3][0]} {found[k][0]} EUR 5", 2)
