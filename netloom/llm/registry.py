@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm import chat, common, content_sort, decontaminate, html_text, language, packing, pseudonyms, sharding, simhash, token_cache
+from netloom.llm import chat, common, content_sort, decontaminate, html_text, language, packing, pseudonyms, sharding, simhash, token_cache, whitening
 from netloom.session import run_dir
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -65,6 +65,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_cache.token_counts(docs, run_dir(spark, "token-counts"), vocabulary("byte_bpe_50k.json"), vocabulary("byte_bpe_50k.tiktoken"), limit=1024)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(common.table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), components=16, scale=64.0, origin=1_000_000)
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_language": op2_language,
@@ -76,6 +80,7 @@ QUERIES = {
     "op8_content_sort": op8_content_sort,
     "op9_chat": op9_chat,
     "op10_token_counts": op10_token_counts,
+    "op11_whitening": op11_whitening,
 }
 
 # Words of both tables in order; windows of 10 words as text, with the place they start at.
