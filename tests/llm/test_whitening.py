@@ -71,7 +71,8 @@ def test_undefined_components_are_left_out(spark):
 def test_large_numbers_stay_exact(spark):
     rows = [(1, [1e30, 0.0]), (2, [-1e30, 1.0]), (3, [0.0, 2.0])]
     got = whitening.whiten(_frame(spark, rows)).collect()
-    assert {r["deviation"] for r in got} == {None} and {r["n"] for r in got} == {3}
+    # the first entry's centre is exactly that of the third row; the second entries are 1000000, 1000064 and 1000128
+    assert {(r["vec_id"], r["deviation"]) for r in got} == {(1, None), (2, None), (3, (3 * 64) ** 2)} and {r["n"] for r in got} == {3}
     y = np.array([[10**15, -3], [-(10**15), 5], [7, 10**14]])
     assert whitening._products(y).tolist() == [[int(sum(int(a) * int(b) for a, b in zip(y[:, i], y[:, j], strict=True))) for j in range(2)] for i in range(2)]
 
