@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm import chat, common, content_sort, decontaminate, html_text, language, packing, pseudonyms, sharding, simhash, token_cache, whitening
+from netloom.llm import bpe_matrix, chat, common, content_sort, decontaminate, html_text, language, packing, pseudonyms, sharding, simhash, token_cache, whitening
 from netloom.session import run_dir
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -69,6 +69,15 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(common.table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), components=16, scale=64.0, origin=1_000_000)
 
 
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = vocabulary("byte_bpe_50k.tiktoken")
+    found = bpe_matrix.encode(common.table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
+    back = bpe_matrix.decode(found, ranks)
+    return back.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_language": op2_language,
@@ -81,6 +90,7 @@ QUERIES = {
     "op9_chat": op9_chat,
     "op10_token_counts": op10_token_counts,
     "op11_whitening": op11_whitening,
+    "op12_byte_bpe": op12_byte_bpe,
 }
 
 # Words of both tables in order; windows of 10 words as text, with the place they start at.
