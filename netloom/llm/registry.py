@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm import bpe_matrix, chat, common, content_sort, decontaminate, html_text, language, packing, pseudonyms, sharding, simhash, token_cache, whitening
+from netloom.llm import bpe_matrix, chat, common, content_sort, decontaminate, html_text, language, packing, prefix_trie, pseudonyms, sharding, simhash, token_cache, whitening
 from netloom.session import run_dir
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -78,6 +78,10 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.shared_prefixes(common.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"), family=20, heads=4)
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_language": op2_language,
@@ -91,6 +95,7 @@ QUERIES = {
     "op10_token_counts": op10_token_counts,
     "op11_whitening": op11_whitening,
     "op12_byte_bpe": op12_byte_bpe,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 # Words of both tables in order; windows of 10 words as text, with the place they start at.
