@@ -7,6 +7,9 @@ turn-aligned windows: each holds the conversation's system turn (if its first tu
 of turns before the window, and as many new turns as fit. Repeated turns are masked: an assistant turn is
 under the loss mask once, in the window where it is new.
 
+A turn's tokens are those of the turn as it is written, escapes and template included; turns end with a line end and begin
+with "<", between which no token can span, so a window has as many tokens as its turns.
+
 A turn reads ``<s>[INST] role [/INST]``, line end, text, line end, ``</s>``, line end. The template's control
 strings never stand after a backslash; those inside texts and roles get one (and double the backslashes before
 it), which :func:`unescape` takes back.
@@ -33,7 +36,7 @@ CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")  # fixed
 _OPEN, _ROLE_END, _CLOSE = "<s>[INST] ", " [/INST]\n", "\n</s>\n"
 _ANY = "|".join(map(re.escape, CONTROLS))
 _PLAIN, _ESCAPED = re.compile(rf"(\\*)({_ANY})"), re.compile(rf"(\\+)({_ANY})")
-STRETCH, TURN_TOKENS = 256, 16  # turn numbers in a stretch; tokens of a turn's template
+STRETCH = 256  # turn numbers in a stretch
 PIECE_ROWS, PIECE_CHARS = 1024, 8 << 20
 _WINDOWS = "conv_id long, stretch long, window int, formatted string, repeated int, loss array<struct<start:int,end:int>>, n_tokens long"
 _DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
@@ -111,7 +114,7 @@ def windows(conversations: DataFrame, tokenizer: str, ranks: str | None = None,
         def close(key, group, number):
             begins, system = group[0][0] == -1, [g[1:] for g in group if g[0] == 0]
             turns, new_from = [g[1:] for g in group if g[0] > 0], sum(g[0] == 1 for g in group)
-            tokens = np.array([encoder.count(text) + TURN_TOKENS for _, text in system + turns])
+            tokens = np.array([encoder.count(render([turn], 1)[0]) for turn in system + turns])
             fixed = int(tokens[0]) if begins or system else 0
             tokens = tokens[len(system) :]
             chars = 0

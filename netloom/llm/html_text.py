@@ -53,14 +53,15 @@ _WORSE = frozenset("""ad ads adv advert adverts advertisement advertising adsens
     related recommended recommendations comment comments commentlist reply replies respond disqus discussion copyright legal disclaimer pager
     pagination skip complementary contentinfo search dialog outbrain taboola tags toc hidden""".split())
 _BETTER = frozenset("article content entry main post story text body".split())
-_TAG_GAIN = {"p": 1.0, "h1": 1.0, "h2": 0.8, "h3": 0.8, "h4": 0.5, "h5": 0.5, "h6": 0.5, "blockquote": 1.0, "pre": 1.0, "li": -0.4, "td": -0.3, "th": -0.3}
+_TAG_GAIN = {"p": 1.5, "h1": 1.0, "h2": 0.8, "h3": 0.8, "h4": 0.5, "h5": 0.5, "h6": 0.5, "blockquote": 1.5, "pre": 1.5, "li": 0.1, "td": 0.1, "th": 0.1}
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "depth", "gain", "inside", "link")
+    __slots__ = ("tag", "parent", "depth", "gain", "inside", "link", "block")
 
     def __init__(self, tag, parent, depth, gain, inside, link):
         self.tag, self.parent, self.depth, self.gain, self.inside, self.link = tag, parent, depth, gain, inside, link
+        self.block = self if parent is None or tag in BLOCK else parent.block  # the nearest block-level element, this one included
 
 
 def _open(tag: str, source: str, parent: _Node) -> _Node:
@@ -100,6 +101,7 @@ def blocks_of(page: str) -> list[tuple[str, _Node, float]]:
     """(text, element, share of link text) of each block in page order."""
     root = _Node("", None, 0, 0.0, False, False)
     node, found, block = root, [], Block(root)
+    is_open: dict[str, int] = {}  # open elements by name, so that a stray end tag needs no walk
 
     def text(piece: str):
         if piece:
@@ -111,9 +113,14 @@ def blocks_of(page: str) -> list[tuple[str, _Node, float]]:
         nonlocal block
         if block.parts:
             found.append(block)
-        while now.tag and now.tag not in BLOCK:
-            now = now.parent
-        block = Block(now)
+        block = Block(now.block)
+
+    def leave(outer: _Node):
+        """Ends the open elements below ``outer``."""
+        nonlocal node
+        while node is not outer:
+            is_open[node.tag] -= 1
+            node = node.parent
 
     at = 0
     for token in _TOKEN.finditer(page):
@@ -126,14 +133,12 @@ def blocks_of(page: str) -> list[tuple[str, _Node, float]]:
             continue
         tag = _NAME.match(source)[1].lower()
         if source[1] == "/":
-            up = node
-            while up.tag and up.tag != tag:
-                up = up.parent
-            if up.tag:
-                node = up.parent
-                if tag in BLOCK:
-                    close(node)
-            elif tag in BLOCK:
+            if is_open.get(tag):
+                up = node
+                while up.tag != tag:
+                    up = up.parent
+                leave(up.parent)
+            if tag in BLOCK:
                 close(node)
             continue
         if tag == "br":
@@ -141,20 +146,18 @@ def blocks_of(page: str) -> list[tuple[str, _Node, float]]:
         if tag in BLOCK:
             if tag in _ENDS:
                 same, border = _ENDS[tag]
-                up = node
+                up = node if any(map(is_open.get, same)) else root
                 while up.tag and up.tag not in same and up.tag not in border:
                     up = up.parent
                 if up.tag in same:
-                    node = up.parent
-            up = node
-            while up.tag and (up.tag not in BLOCK):  # an open paragraph ends, and what is open in it
-                up = up.parent
-            if up.tag == "p":
-                node = up.parent
+                    leave(up.parent)
+            if node.block.tag == "p":  # an open paragraph ends, and what is open in it
+                leave(node.block.parent)
         if tag not in _VOID:
-            node = _open(tag, source, node)
-            if source.endswith("/>") and tag not in BLOCK:
-                node = node.parent
+            inner = _open(tag, source, node)
+            if tag in BLOCK or not source.endswith("/>"):
+                node = inner
+                is_open[tag] = is_open.get(tag, 0) + 1
         if tag in BLOCK:
             close(node)
     text(page[at:])
@@ -170,7 +173,7 @@ def blocks_of(page: str) -> list[tuple[str, _Node, float]]:
 def gain_of(content: str, node: _Node, links: float) -> float:
     """How much better a block is as content than as boilerplate; a linear classifier with fixed weights."""
     words = content.count(" ") + 1
-    gain = node.gain + _TAG_GAIN.get(node.tag, 0.0) + min(words, 40) / 20 - (1.0 if node.inside else 4.0) * links - 1.0
+    gain = node.gain + _TAG_GAIN.get(node.tag, 0.0) + min(words, 40) / 12 - (1.0 if node.inside else 4.0) * links - 0.6
     if "©" in content and words < 30 or words < 40 and not node.inside and re.search(r"\b(?:cookies?|all rights reserved|copyright)\b", content, re.I):
         gain -= 2.0
     return gain
@@ -195,7 +198,7 @@ def main_text(page: str) -> str:
     last_of: dict[int, int] = {}
     for i, (_, node, _) in enumerate(blocks):
         if i:
-            edges[i - 1, i] = 1.5 / (1 + _apart(blocks[i - 1][1], node))
+            edges[i - 1, i] = 2.0 / (1 + _apart(blocks[i - 1][1], node))
         parent = id(node.parent or node)
         if parent in last_of:
             pair = (last_of[parent], i)

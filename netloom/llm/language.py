@@ -182,10 +182,20 @@ def identify(docs: DataFrame, label: str = "lang", text: str = common.TEXT, iden
     return predict(docs, names, profiles, {"doc_id": F.col(ident), "held_out": held_out(ident)}, text)
 
 
-def accepted_documents(docs: DataFrame, label: str = "lang", text: str = common.TEXT, ident: str = common.ID) -> DataFrame:
-    """The rows of ``docs`` in a known language, all columns unchanged; texts without any letter go."""
+def accepted_documents(docs: DataFrame, languages: list[str] | None = None, least_score: float = 0.0, sure_chars: int = 256,
+                       label: str = "lang", text: str = common.TEXT, ident: str = common.ID) -> DataFrame:
+    """The rows of ``docs`` whose predicted language is one of ``languages`` (None: any that was learned), all columns unchanged.
+
+    Texts without any letter go. So do texts of ``sure_chars`` characters or more that are not even ``least_score`` close to the
+    best language: the cosine of an unknown language scatters about 0 by 1 / sqrt(dimensions), 0.03 for 1024. Shorter texts
+    hold too few n-grams to tell and follow their prediction alone. If no label is there to learn from, nothing can be
+    rejected and all rows stay.
+    """
     common.tune(docs.sparkSession)
     names, profiles = learn(docs.where(~held_out(ident)), label, text)
+    if not names:
+        return docs
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    found = predict(docs, names, profiles, {"row": row}, text).where(F.col("lang_pred") != UNKNOWN)
-    return found.select([F.col("row").getField(c).alias(c) for c in docs.columns])
+    found = predict(docs, names, profiles, {"row": row, "size": F.char_length(F.col(text))}, text)
+    accepted = F.col("lang_pred").isin(names if languages is None else languages) & ((F.col("score") >= least_score) | (F.col("size") < sure_chars))
+    return found.where(accepted).select([F.col("row").getField(c).alias(c) for c in docs.columns])

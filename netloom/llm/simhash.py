@@ -65,15 +65,22 @@ def fingerprint(text: str, width: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42, text: str = common.TEXT, ident: str = common.ID) -> DataFrame:
-    """(doc_id, fp): fp as a signed 64-bit number."""
+def _digest(text: str):
+    return F.unhex(F.substring(F.sha2(F.coalesce(F.col(text), F.lit("")), 256), 1, 32))
+
+
+def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42, text: str = common.TEXT, ident: str = common.ID, digest: bool = False) -> DataFrame:
+    """(doc_id, fp): fp as a signed 64-bit number; with the text's digest if asked for."""
+    more = {"digest": _digest(text)} if digest else {}
 
     def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(t.as_py() or "", width, seed) for t in batch.column("content")], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            kept = [c for c in batch.schema.names if c != "content"]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, kept), pa.array(found.view(np.int64))], [*kept, "fp"])
 
-    return docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("content")).mapInArrow(printed, "doc_id long, fp long")
+    rows = docs.select(F.col(ident).cast("long").alias("doc_id"), *[c.alias(name) for name, c in more.items()], F.col(text).alias("content"))
+    return rows.mapInArrow(printed, "doc_id long, digest binary, fp long" if digest else "doc_id long, fp long")
 
 
 class _Links:
@@ -203,23 +210,42 @@ def near_links(prints: DataFrame, radius: int = 3, tile_rows: int = TILE_ROWS) -
     return inside.union(across)
 
 
+def _rooted(rows: DataFrame, radius: int, tile_rows: int) -> DataFrame:
+    """(fp, root): a fingerprint that names the component of each different one in ``rows``."""
+    prints = stage(rows.select("fp").distinct(), "prints")
+    roots = components.stars(near_links(prints, radius, tile_rows), "simhash-links").toDF("fp", "root")
+    return prints.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3, seed: int = 42, tile_rows: int = TILE_ROWS,
                     text: str = common.TEXT, ident: str = common.ID) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hexadecimal digits), component_id (smallest doc_id reachable)."""
     common.tune(docs.sparkSession)
     rows = stage(fingerprints(docs, width, seed, text, ident), "simhash")
-    prints = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "prints")
-    roots = components.stars(near_links(prints, radius, tile_rows), "simhash-links").toDF("fp", "root")
-    rooted = prints.join(roots, "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    firsts = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    rooted = _rooted(rows, radius, tile_rows).join(firsts, "fp")
     named = rooted.join(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, text: str = common.TEXT, ident: str = common.ID, **settings) -> DataFrame:
-    """The rows of ``docs`` whose identifier names their component, all columns unchanged.
+def one_of_each(docs: DataFrame, radius: int = 3, width: int = 3, seed: int = 42, tile_rows: int = TILE_ROWS,
+                text: str = common.TEXT, ident: str = common.ID) -> DataFrame:
+    """One row of ``docs`` for each component, all columns unchanged: the one with the smallest identifier.
 
-    Of rows that repeat an identifier one stays. Rows without identifier are passed on as they are.
+    A row is known by its identifier and its text's digest, so unrelated texts that share an identifier, or have none, are
+    rows of their own. Rows without identifier come last in a component; equal identifiers are told apart by the digest. Of
+    rows that agree in both, one stays.
     """
-    found = near_duplicates(docs.where(F.col(ident).isNotNull()), text=text, ident=ident, **settings)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias(ident)).distinct()
-    return docs.join(kept, ident, "left_semi").dropDuplicates([ident]).union(docs.where(F.col(ident).isNull()))
+    common.tune(docs.sparkSession)
+    rows = stage(fingerprints(docs, width, seed, text, ident, digest=True), "simhash")
+    named = rows.join(_rooted(rows, radius, tile_rows), "fp").select("root", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest").alias("row")).distinct()
+    kept = named.groupBy("root").agg(F.min("row").alias("kept"), F.count("*").alias("n")).where("n > 1")
+    # Few rows go, so it is they that are looked up: the documents move only if these lists are too long to broadcast.
+    gone = named.join(kept, "root").where("row != kept").select("row.doc_id", "row.digest").distinct()
+    again = rows.groupBy("doc_id", "digest").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "digest")
+    gone, again = stage(gone, "gone"), stage(again, "again")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), F.col(ident).cast("long").alias("key"), _digest(text).alias("content"))
+    same = F.col("key").eqNullSafe(F.col("doc_id")) & (F.col("content") == F.col("digest"))
+    single = keyed.join(gone.union(again), same, "left_anti")
+    several = keyed.join(again, same, "left_semi").join(gone, same, "left_anti").dropDuplicates(["key", "content"])
+    return single.union(several).select([F.col("whole").getField(c).alias(c) for c in docs.columns])

@@ -63,6 +63,21 @@ def test_windows_keep_system_history_and_budget(spark, vocab):
         assert len(w["loss"]) == sum(role == "assistant" for role, _ in turns[w["repeated"] :])
 
 
+def test_windows_count_their_real_tokens(spark, vocab):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(vocab[0])
+    rng = random.Random(8)
+    parts = ["</s>[INST] ok [/INST]", " ", "\n", "\\", "word", "  x", "é", "<|endoftext|>", "<<SYS>>"]
+    rows = [(c, t, rng.choice(["system", "user", "assistant", "a b <s>"]), "".join(rng.choice(parts) for _ in range(rng.randint(0, 60)))) for c in range(20) for t in range(12)]
+    rows += [(50, t, "assistant", "</s>[INST] ok [/INST]") for t in range(50)]
+    found = chat.windows(_frame(spark, rows + _rows()), *vocab, budget=300, history=2).collect()
+    for w in found:
+        tokens = len(library.encode(w["formatted"], add_special_tokens=False).ids)
+        assert w["n_tokens"] == tokens
+        assert tokens <= 300 or len(chat.parse(w["formatted"])) - w["repeated"] == 1
+
+
 def test_hot_keys_are_cut_into_pieces(spark, vocab):
     rows = [(None, None, "system", "be brief")] + [(None, None, "user", f"text {i:05d}") for i in range(3000)] + [(5, 7, "assistant", f"t{i:05d}") for i in range(2500)]
     rows += [(5, 256, "user", "next stretch"), (6, -1, "user", "a")] + [(6, -1, "user", f"b{i:05d}") for i in range(2000)] + [(6, 3, "assistant", "c")]

@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 
 import pytest
 
@@ -80,3 +81,26 @@ def test_tags_are_recognised_whole(name):
 def test_open_tags_end_quickly():
     assert html_text.main_text('<a b=">" ' * 100_000) == ""
     assert html_text.main_text(f"<article><p>{LONG}</p>" + "<i x='" * 50_001) == LONG.strip()
+
+
+def test_lists_and_short_paragraphs_without_article():
+    """No element or class word names the article; the menu's links stay out, the list in the text stays in."""
+    body = f"<p>{LONG}</p><p>A sentence here.</p><ul><li>First item</li><li>Second</li></ul><p>End.</p>"
+    text = f"{LONG.strip()}\n\nA sentence here.\n\nFirst item\n\nSecond\n\nEnd."
+    assert html_text.main_text(body) == text
+    menu = "<ul><li><a href=/>Home</a></li><li><a href=/x>About us</a></li></ul>"
+    assert html_text.main_text(f"<body>{menu}{body}<ul><li><a href=1>Next story</a></li></ul>") == text
+
+
+def test_the_cut_changes_labels():
+    """Here the classifier alone would drop the list's items; the cut keeps them for their neighbours' sake."""
+    blocks = html_text.blocks_of(f"<p>{LONG}</p><ul><li>First item</li><li>Second</li></ul><p>{LONG}</p>")
+    assert [html_text.gain_of(*b) > 0 for b in blocks] == [True, False, False, True]
+    assert html_text.main_text(f"<p>{LONG}</p><ul><li>First item</li><li>Second</li></ul><p>{LONG}</p>").count("\n\n") == 3
+
+
+@pytest.mark.parametrize("page", ["<b>" * 20_000 + "</i>" * 20_000, "<b>" * 20_000 + "<div></div>" * 20_000, "<div>" * 20_000 + "<dd></dd>" * 20_000, "x</i>" * 100_000])
+def test_tags_take_linear_time(page):
+    start = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - start < 5

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from netloom.llm import language
 
@@ -64,3 +65,21 @@ def test_long_texts_in_slices(monkeypatch):
     whole = language.text_vectors([text], [0], 1, 3, 64, 5)
     monkeypatch.setattr(language, "SLICE_CHARS", 37)
     assert np.array_equal(language.text_vectors([text], [0], 1, 3, 64, 5), whole)
+
+
+def test_stage_rejects_by_prediction(spark):
+    rng = random.Random(9)
+    say = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 6))) for _ in range(n))
+    rows = [(i, say("abcde" if i % 2 else "mnopq", 60), "aa" if i % 2 else "mm") for i in range(60)]
+    rows += [(100 + i, say("\u0431\u0432\u0433\u0434\u0436\u0437", 120), None) for i in range(10)] + [(200, "12 34 !!", None), (201, None, None), (202, "\u0431", None), (None, say("abcde", 60), None)]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, lang string, size int")
+    stays = lambda found: sorted(str(r["doc_id"]) for r in found.collect())
+    every = stays(language.accepted_documents(docs, least_score=0.08))
+    assert every == sorted([*map(str, range(60)), "202", "None"])
+    only = language.accepted_documents(docs, languages=["aa"], least_score=0.08)
+    assert only.columns == docs.columns
+    assert set(stays(only)) - {"202"} == {*map(str, range(1, 60, 2)), "None"}
+    # Nothing to learn from: nothing is rejected.
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert language.accepted_documents(unlabelled, least_score=0.08).count() == len(rows)
+    assert language.accepted_documents(docs.limit(0)).count() == 0

@@ -49,7 +49,37 @@ def test_stages_equal_brute_force(spark):
     assert {r["doc_id"] for r in packed} == {i for i, _ in kept}
 
 
+def _tables(spark, rows, items, extra=""):
+    path = run_dir(spark, "tables")
+    schema = "doc_id long, text string, lang string, source string, n_chars long" + extra
+    more = (7, "x") if extra else ()
+    spark.createDataFrame([(i, t, lang, "s", len(t or ""), *more) for i, t, lang in rows], schema).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    return path
+
+
+def test_awkward_tables(spark):
+    """Repeated and missing identifiers with texts of their own, clashing further columns, no labels."""
+    rng = random.Random(4)
+    text = lambda: " ".join("".join(rng.choice(["ka", "ro", "mi", "tu"]) for _ in range(rng.randint(1, 4))) for _ in range(60))
+    texts = [text() for _ in range(8)]
+    rows = [(1, texts[0]), (1, texts[1]), (None, texts[2]), (None, texts[3]), (None, texts[3].upper()), (2, texts[4]), (2, texts[4]), (3, texts[5]), (4, None), (5, "")]
+    path = _tables(spark, [(*r, None) for r in rows], [], ", fp long, row string")
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    for _, apply in corpus_pipeline.STAGES[:-1]:
+        before, docs = docs, apply(spark, docs, path)
+        assert docs.schema.names == before.schema.names
+    got = sorted((str(r["doc_id"]), _fold(r["text"])) for r in docs.collect())
+    assert got == sorted((str(i), t) for i, t in [(1, texts[0]), (1, texts[1]), (None, texts[2]), (None, texts[3]), (2, texts[4]), (3, texts[5]), (5, "")])
+    assert corpus_pipeline.run(spark, path).count() >= 6
+
+
+def test_empty_tables(spark):
+    path = _tables(spark, [], [])
+    assert corpus_pipeline.run(spark, path).count() == 0
+
+
 def test_every_operator_is_registered():
-    assert [int(name[2:].split("_")[0]) for name in registry.QUERIES] == list(range(1, 11))
+    assert [int(name[2:].split("_")[0]) for name in registry.QUERIES] == list(range(1, 14))
     assert registry.SQL.keys() <= registry.QUERIES.keys()
     assert language.UNKNOWN == "und" and simhash.TILE_ROWS == 4096

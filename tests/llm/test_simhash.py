@@ -83,12 +83,28 @@ def test_documents(docs):
         ids.setdefault(r, []).append(i)
     want = sorted((str(i), f"{p:016x}", min((x for x in ids[r] if x is not None), default=None)) for (i, _), p, r in zip(rows, prints, roots, strict=True))
     assert sorted((str(r[0]), r[1], r[2]) for r in found) == want
-    kept = simhash.one_of_each(docs(rows)).collect()
-    assert sorted(r["doc_id"] for r in kept if r["doc_id"] is not None) == sorted({w[2] for w in want if w[2] is not None})
-    assert sum(r["doc_id"] is None for r in kept) == 1
     assert simhash.near_duplicates(docs([])).count() == 0
 
 
+def test_one_row_of_each_component_stays(docs):
+    """Unrelated texts that share an identifier, or have none, all stay; of a component the smallest identifier does."""
+    rng = random.Random(5)
+    base = [" ".join(f"word{rng.randint(0, 999)}" for _ in range(200)) for _ in range(6)]
+    near = [t.replace("word", "Word", 1) for t in base]  # the same shingles
+    rows = [(1, base[0]), (1, base[1]), (2, near[0]), (None, base[2]), (None, near[2] + "  "), (None, base[3]), (7, near[3]), (8, base[4]), (8, base[4]), (9, near[4]),
+            (11, near[5]), (11, base[5]), (3, None), (4, ""), (4, ""), (None, None)]
+    found = simhash.one_of_each(docs(rows))
+    assert found.columns == docs(rows).columns
+    got = [(r["doc_id"], r["text"]) for r in found.collect()]
+    assert got.count((1, base[0])) == got.count((1, base[1])) == got.count((7, near[3])) == got.count((8, base[4])) == 1
+    assert sum(i is None for i, _ in got) == 1 and sum(i == 11 for i, _ in got) == 1
+    assert [i for i, t in got if not t] == [3]
+    assert len(got) == 7
+    prints = {(_fingerprint(t)) for _, t in rows}
+    assert sorted(_fingerprint(t) for _, t in got) == sorted(prints)
+    assert simhash.one_of_each(docs([])).count() == 0
+
+
 def test_long_chains_become_one_star(spark):
     n = 200
     order = list(range(n))
