@@ -15,8 +15,8 @@ from netloom.session import stage
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the languages of the labels; texts without a letter go."""
-    return language.accepted_documents(docs)
+    """Documents in one of the languages of the labels; texts without a letter, and long ones that are close to no language, go."""
+    return language.accepted_documents(docs, least_score=0.08)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,8 +25,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose fingerprints are linked, the one with the smallest doc_id stays."""
-    return simhash.one_of_each(docs)
+    """Of documents whose fingerprints are linked, the one with the smallest doc_id stays. Shingle length and distance are the operator's."""
+    return simhash.one_of_each(docs, radius=3, width=3, seed=42)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
