@@ -1,48 +1,104 @@
-"""Flows labelled by the alerts raised close to them."""
+"""Flows labelled by the alerts raised close to them, without a row for each pair.
+
+Time is cut into cells as long as the band, and the cell is part of the key. Any two times of one cell are
+closer than the band, so of the alerts within the band of a flow those in its own cell are all of that cell;
+those in the cell before are the latest ones there, and those in the cell after the earliest. Each alert
+therefore enters three cells: its own, where it only adds to a total, and as an edge value its two neighbours,
+moved by one band so that it falls among their times. There one ordered pass over flows and edge values
+carries running totals: what lies beyond a flow on the side of the neighbour is within its band.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netloom.functions.times import micros, slice_of, to_micros
 
 KEYS = ["_src_ip", "_dst_ip", "_dst_port"]
+_BEFORE, _AFTER = -1, 1  # the cell that an edge value comes from, seen from where it is entered
+
+
+def _marks(alerts: DataFrame, alert_ts: str, band: int) -> DataFrame:
+    """Key, cell, side, place (time as it counts in that cell), alert_label and times (how many such alerts)."""
+    own = slice_of(F.col("us"), band)
+    marks = alerts.select(*KEYS, micros(alerts, alert_ts).alias("us"), F.col("label").alias("alert_label"))
+    marks = marks.where(" AND ".join(f"{c} IS NOT NULL" for c in [*KEYS, "us"])).groupBy(*KEYS, "us", "alert_label").agg(F.count(F.lit(1)).alias("times"))
+    entries = [(own, F.lit(0), F.col("us")), (own + band, F.lit(_BEFORE), F.col("us") + band), (own - band, F.lit(_AFTER), F.col("us") - band)]
+    cells = F.explode(F.array(*[F.struct(c.alias("cell"), s.alias("side"), p.alias("place")) for c, s, p in entries]))
+    return marks.select(*KEYS, "alert_label", "times", cells.alias("at")).select(*KEYS, "at.*", "alert_label", "times")
+
+
+def _entered(flows: DataFrame, marks: DataFrame, near: DataFrame, flow_ts: str, band: int) -> tuple[DataFrame, DataFrame]:
+    """(flows without an alert of their key in the cells around them, the others among the edge values of their cells).
+
+    ``near`` has what a flow takes over from its whole cell, a row or more for each cell that holds marks. Flows travel
+    as one struct, so none of their columns can clash with the names used here.
+    """
+    us = micros(flows, flow_ts)
+    placed = flows.select(F.struct(*[F.col(f"`{c}`") for c in flows.columns]).alias("flow"), *KEYS, us.alias("place"), slice_of(us, band).alias("cell"))
+    placed = placed.join(near.withColumn("near", F.lit(True)), [*KEYS, "cell"], "left")
+    rows = placed.where("near").unionByName(marks.where("side != 0"), allowMissingColumns=True)
+    return placed.where("near IS NULL").select("flow"), rows.drop("near")
+
+
+def _passed(keys: list[str], value) -> list[Column]:
+    """``value(side)`` over the edge values within a flow's band: earlier places from the cell after, later ones from the cell before."""
+    entry = F.col("flow").isNull()  # at equal times a flow comes first: an alert one whole band away is outside
+    ahead = Window.partitionBy(*keys).orderBy(F.asc("place"), entry).rowsBetween(Window.unboundedPreceding, 0)
+    behind = Window.partitionBy(*keys).orderBy(F.desc("place"), entry).rowsBetween(Window.unboundedPreceding, 0)
+    return [value(_AFTER).over(ahead), value(_BEFORE).over(behind)]
+
+
+def _shown(label: Column) -> Column:
+    return F.coalesce(F.nullif(label, F.lit("")), F.lit("BENIGN"))
+
+
+def label_counts(flows: DataFrame, alerts: DataFrame, seconds: float = 5.0, flow_ts: str = "flow_end", alert_ts: str = "alert_ts") -> DataFrame:
+    """Each flow once for each label of the alerts less than ``seconds`` away, with ``times``, the number of these alerts.
+
+    A flow without such an alert appears once as BENIGN with ``times`` 1. Source, target and target port must agree;
+    a missing one never does. An alert without label counts as BENIGN. Only flows that have alerts of their key around
+    them are ordered; the others are done after one join.
+    """
+    band = to_micros(seconds)
+    flows = flows.drop("label", "alert_label", "times")
+    marks, cell, zero = _marks(alerts, alert_ts, band), [*KEYS, "cell"], F.lit(0).cast("long")
+    inside = marks.groupBy(*cell, "alert_label").agg(F.coalesce(F.sum(F.when(F.col("side") == 0, F.col("times"))), zero).alias("inside"))
+    of_cell = Window.partitionBy(*cell)
+    near = inside.select("*", F.sum("inside").over(of_cell).alias("all_inside"), (F.row_number().over(of_cell.orderBy("alert_label")) == 1).alias("first"))
+    alone, rows = _entered(flows, marks, near, flow_ts, band)
+
+    def entries(side: int) -> Column:
+        return F.sum(F.when(F.col("side") == side, F.col("times")))
+
+    for name, keys in (("all_inside", cell), ("inside", [*cell, "alert_label"])):
+        ahead, behind = _passed(keys, entries)
+        rows = rows.withColumns({f"{name}_ahead": ahead, f"{name}_behind": behind})
+    total = {name: sum((F.coalesce(f"{name}_{side}", zero) for side in ("ahead", "behind")), F.col(name)) for name in ("all_inside", "inside")}
+    found = rows.where("flow IS NOT NULL").select("flow", "alert_label", "first", total["inside"].alias("times"), total["all_inside"].alias("any"))
+    # Alerts in the neighbouring cells may all be too far: such a flow, once for all its candidate labels, is BENIGN too.
+    benign = F.col("any") == 0
+    found = found.where((F.col("times") > 0) | benign & F.col("first")).select(
+        "flow", F.when(benign, "BENIGN").otherwise(_shown(F.col("alert_label"))).alias("label"), F.greatest("times", F.lit(1).cast("long")).alias("times"))
+    alone = alone.select("flow", F.lit("BENIGN").alias("label"), F.lit(1).cast("long").alias("times"))
+    return alone.unionByName(found).select("flow.*", "label", "times")
+
 
+def label_flows(flows: DataFrame, alerts: DataFrame, seconds: float = 5.0, flow_ts: str = "flow_end", alert_ts: str = "alert_ts", one_label: bool = False) -> DataFrame:
+    """Flows with the label of the alerts less than ``seconds`` away; BENIGN without any.
 
-def label_flows(
-    flows: DataFrame,
-    alerts: DataFrame,
-    seconds: float = 5.0,
-    flow_ts: str = "flow_end",
-    alert_ts: str = "alert_ts",
-    one_label: bool = False,
-) -> DataFrame:
-    """Left join on source, target and target port where the times differ by less than ``seconds``.
-
-    A flow with several such alerts appears once per alert, one without any is BENIGN. The time band is
-    part of the join key: time is cut into cells as long as the band, each alert is entered in its own
-    and both neighbouring cells, and each flow looks in its own. A busy pair of hosts is thus spread
-    over its cells instead of being compared with all of its alerts. Alerts that are the same for this
-    purpose travel as one row with a count. ``one_label`` keeps a single row per flow instead.
+    A flow appears once for each of these alerts, which :func:`label_counts` says in numbers. ``one_label`` keeps one row
+    per flow: any alert label wins over BENIGN, the smallest one when they differ.
     """
+    if not one_label:
+        copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))
+        return label_counts(flows, alerts, seconds, flow_ts, alert_ts).withColumn("times", copies).drop("times")
     band = to_micros(seconds)
-    f_us, a_us = micros(flows, flow_ts), micros(alerts, alert_ts)
-
-    marks = alerts.select(*[F.col(c).alias(f"a{c}") for c in KEYS], a_us.alias("a_us"), F.col("label").alias("alert_label"))
-    marks = marks.groupBy(*[f"a{c}" for c in KEYS], "a_us", "alert_label").agg(F.count(F.lit(1)).alias("times"))
-    own = slice_of(F.col("a_us"), band)
-    marks = marks.withColumn("a_cell", F.explode(F.array(own - band, own, own + band)))
-    left = flows.drop("label", "alert_label").withColumns({"_us": f_us, "_cell": slice_of(f_us, band)})
-    on = (F.col("_cell") == F.col("a_cell")) & (F.abs(F.col("_us") - F.col("a_us")) < band)
-    for c in KEYS:
-        on = on & (F.col(c) == F.col(f"a{c}"))
-    joined = left.join(marks, on, "left")
-    label = F.coalesce(F.nullif("alert_label", F.lit("")), F.lit("BENIGN")).alias("label")
-    names = [c for c in left.columns if c not in ("_us", "_cell")]
-    if one_label:
-        # Any alert label wins over BENIGN; the smallest one when they differ.
-        best = joined.groupBy("flow_id").agg(F.min("alert_label").alias("alert_label"))
-        return flows.drop("label").join(best, "flow_id").select(*names, label)
-    copies = F.explode(F.sequence(F.lit(1).cast("bigint"), F.coalesce("times", F.lit(1).cast("bigint"))))
-    return joined.select(*names, label, copies.alias("_copy")).drop("_copy")
+    flows = flows.drop("label", "alert_label")
+    marks = _marks(alerts, alert_ts, band).where("alert_label <> ''")
+    near = marks.groupBy(*KEYS, "cell").agg(F.min(F.when(F.col("side") == 0, F.col("alert_label"))).alias("inside"))
+    alone, rows = _entered(flows, marks, near, flow_ts, band)
+    ahead, behind = _passed([*KEYS, "cell"], lambda side: F.min(F.when(F.col("side") == side, F.col("alert_label"))))
+    found = rows.withColumns({"ahead": ahead, "behind": behind}).where("flow IS NOT NULL").select("flow", F.coalesce(F.least("inside", "ahead", "behind"), F.lit("BENIGN")).alias("label"))
+    return alone.select("flow", F.lit("BENIGN").alias("label")).unionByName(found).select("flow.*", "label")

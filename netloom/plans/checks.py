@@ -386,6 +386,13 @@ SELECT alert_id, '[ALERT] ' || upper(severity) || ' | ' || _src_ip || ':' || _sr
     "json_payload": _with(A_) + "SELECT alert_id, severity, round(score, 6) AS score, _src_ip, severity IN ('high', 'medium') AS critical FROM alerts",
     "label_join": _with(A_, _NEAR) + "SELECT flow_id, label, _dst_port FROM labelled",
     "label_join_single": _with(A_, _NEAR) + "SELECT flow_id, min(label) AS label FROM labelled GROUP BY 1",
+    "label_join_counts": _with(A_, _NEAR) + "SELECT flow_id, label, count(*) AS times FROM labelled GROUP BY 1, 2",
+    "label_join_kinds": _with(A_, _NEAR) + """
+, kinds AS (SELECT _src_ip, _dst_ip, alert_ts, ['SCAN', 'FLOOD', '', NULL][alert_id % 4 + 1] AS kind FROM near),
+met AS (SELECT f.flow_id, CASE WHEN k.kind IS NULL OR k.kind = '' THEN 'BENIGN' ELSE k.kind END AS label
+  FROM flows f LEFT JOIN kinds k ON f._src_ip = k._src_ip AND f._dst_ip = k._dst_ip AND abs(epoch_us(f.flow_end) - epoch_us(k.alert_ts)) < 21600000000)
+SELECT flow_id, label, count(*) AS times FROM met GROUP BY 1, 2
+UNION ALL SELECT flow_id, 'best ' || coalesce(min(label) FILTER (label <> 'BENIGN'), 'BENIGN'), 1 FROM met GROUP BY 1""".lstrip(),
     "train_clean_strict": _with(_TRAIN) + "SELECT label, is_attack, count(*) AS n, round(sum(packets), 3) AS packets, round(sum(iat), 3) AS iat FROM strict GROUP BY ALL",
     "train_clean_lenient": _with(_TRAIN) + """SELECT label, CASE WHEN upper(label) <> 'BENIGN' THEN 1 ELSE 0 END AS is_attack, count(*) AS n,
   count(*) FILTER (inf_rate OR rate = 0) AS zero_rates, round(sum(port)::DOUBLE, 3) AS ports FROM li WHERE label IS NOT NULL AND NOT has_nan AND NOT has_null GROUP BY ALL""",

@@ -62,3 +62,19 @@ def differences(got, want, limit: int = 3) -> list[str]:
     if not bad and exact:
         out.append(f"INEXACT {exact} rows differ in the last digit: {next((g, w) for g, w in zip(gr, wr) if g != w)}")
     return out
+
+
+def most_rows(df) -> int:
+    """Runs a DataFrame and gives the largest number of rows that any step of its plan put out."""
+    spark = df.sparkSession
+    store = spark._jsparkSession.sharedState().statusStore()
+    df.write.format("noop").mode("overwrite").save()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    number = store.executionsList().last().executionId()
+    nodes, values, most = store.planGraph(number).allNodes(), store.executionMetrics(number), 0
+    for i in range(nodes.size()):
+        metrics = nodes.apply(i).metrics()
+        for k in range(metrics.size()):
+            if metrics.apply(k).name() == "number of output rows" and values.contains(metrics.apply(k).accumulatorId()):
+                most = max(most, int(values.apply(metrics.apply(k).accumulatorId()).replace(",", "")))
+    return most

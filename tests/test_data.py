@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from compare import most_rows
 from pyspark.sql import functions as F
 
 from netloom.operators import analytics, features, labels, ranking, training
@@ -141,3 +142,50 @@ def test_reports(spark):
     assert analytics.kpis(f, a).first()["attack_rate"] == "100.0%"
     h = analytics.heatmap(a).collect()
     assert [(r["day"], r["h00"], r["h03"]) for r in h] == [("Monday", 2, 0), ("Tuesday", 0, 1)]
+
+
+def _brute_labels(flows, alerts, band):
+    """(flow, label) -> number of alerts, and the single label of each flow, by comparing all pairs."""
+    counts, single = {}, {}
+    for i, s, d, p, t in flows:
+        near = [a[4] or "" for a in alerts if None not in (s, d, p) and a[:3] == (s, d, p) and abs(a[3] - t) < band]
+        for label in near or [""]:
+            key = i, label or "BENIGN"
+            counts[key] = counts.get(key, 0) + 1
+        single[i] = min((x for x in near if x), default="BENIGN")
+    return counts, single
+
+
+def test_labels_equal_all_pairs(spark):
+    rng = random.Random(11)
+    band = 5
+    pick = lambda: (rng.choice(["a", "b", None]), rng.choice(["x", "y"]), rng.choice([80, 80, None]))
+    flows = [(i, *pick(), rng.randint(-30, 60)) for i in range(400)]
+    alerts = [(*pick(), rng.randint(-30, 60), rng.choice(["SCAN", "FLOOD", "", None])) for _ in range(120)]
+    at = lambda s: dt.datetime(1970, 1, 1) + dt.timedelta(seconds=s)
+    f = spark.createDataFrame([(i, s, d, p, at(t), "old", 1) for i, s, d, p, t in flows], "flow_id long, _src_ip string, _dst_ip string, _dst_port int, flow_end timestamp_ntz, label string, place int")
+    a = spark.createDataFrame([(s, d, p, at(t), x) for s, d, p, t, x in alerts], "_src_ip string, _dst_ip string, _dst_port int, alert_ts timestamp_ntz, label string")
+    counts, single = _brute_labels(flows, alerts, band)
+    found = {}
+    for r in labels.label_counts(f, a, band).collect():
+        assert r["place"] == 1
+        found[r["flow_id"], r["label"]] = found.get((r["flow_id"], r["label"]), 0) + r["times"]
+    assert found == counts
+    copies = {}
+    for r in labels.label_flows(f, a, band).collect():
+        copies[r["flow_id"], r["label"]] = copies.get((r["flow_id"], r["label"]), 0) + 1
+    assert copies == counts
+    one = labels.label_flows(f, a, band, one_label=True)
+    assert {r["flow_id"]: r["label"] for r in one.collect()} == single and one.count() == len(flows)
+    none = labels.label_counts(f, a.limit(0), band)
+    assert {(r["label"], r["times"]) for r in none.collect()} == {("BENIGN", 1)} and none.count() == len(flows)
+
+
+def test_labels_make_no_pairs(spark):
+    """One key with 3,000 alerts and 3,000 flows in one band: no step of the plan has more rows than its inputs call for."""
+    t = dt.datetime(2024, 1, 1)
+    f = spark.createDataFrame([(i, "a", "b", 80, t + dt.timedelta(milliseconds=i)) for i in range(3000)], "flow_id long, _src_ip string, _dst_ip string, _dst_port int, flow_end timestamp_ntz")
+    a = spark.createDataFrame([("a", "b", 80, t + dt.timedelta(milliseconds=i), "X") for i in range(3000)], "_src_ip string, _dst_ip string, _dst_port int, alert_ts timestamp_ntz, label string")
+    counted = labels.label_counts(f, a, 5.0)
+    assert sum(r["times"] for r in counted.collect()) == 3000 * 3000
+    assert 6000 <= most_rows(counted) <= 12_000  # flows and edge values, each row once

@@ -1,8 +1,10 @@
 import datetime as dt
+import random
 
 import pytest
 import simulate
 from pyspark.sql import functions as F
+from test_data import _brute_labels
 from test_flows import random_packets, tcp
 
 from netloom.operators.flows import aggregate_flows
@@ -12,6 +14,7 @@ from netloom.sources.packets import stream_packets
 from netloom.streaming import runner
 from netloom.streaming.dedup_state import stream_dedup
 from netloom.streaming.flow_state import stream_flows
+from netloom.streaming.label_state import stream_label_counts
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -92,6 +95,32 @@ def test_detection_stream(spark, make_packets, tmp_path):
     assert [(r["src_ip"], r["alert_count"], r["status"], r["max_severity"]) for r in inc] == [("10.0.0.88", 3, "active", "high")]
 
 
+def test_stream_labels_equal_all_pairs(spark, tmp_path):
+    """Flows and alerts in five files each, out of order within the watermark's delay; a cell's alerts may come after its flows."""
+    runner.use_rocksdb(spark)
+    rng = random.Random(12)
+    flows = [(i, rng.choice(["a", "b", None]), "x", rng.choice([80, None]), rng.randint(0, 199)) for i in range(150)]
+    alerts = [(rng.choice(["a", "b"]), "x", 80, rng.randint(0, 199), rng.choice(["SCAN", "FLOOD", "", None])) for _ in range(100)]
+    at = lambda s: T0 + dt.timedelta(seconds=s, microseconds=7)
+    f_schema = "flow_id long, _src_ip string, _dst_ip string, _dst_port int, flow_end timestamp, weight double"
+    a_schema = "_src_ip string, _dst_ip string, _dst_port int, alert_ts timestamp, label string"
+    for k in range(6):
+        low, high = (k * 40, k * 40 + 40) if k < 5 else (10**6, 10**6 + 1)
+        f = [(i, s, d, p, at(t), i / 3) for i, s, d, p, t in flows if low <= t < high] or [(-1, "z", "z", 1, at(low), 0.0)]
+        a = [(s, d, p, at(t), x) for s, d, p, t, x in alerts if low <= t < high] or [("z", "z", 1, at(low), "z")]
+        spark.createDataFrame(f, f_schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "f"))
+        spark.createDataFrame(a, a_schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "a"))
+    read = lambda name, schema, ts: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name)).withWatermark(ts, "90 seconds")
+    got = runner.drain(stream_label_counts(read("f", f_schema, "flow_end"), read("a", a_schema, "alert_ts"), 5.0), "t-labels").collect()
+    counts, _ = _brute_labels(flows, alerts, 5)
+    found = {}
+    for r in got:
+        if r["flow_id"] >= 0:
+            assert r["weight"] == r["flow_id"] / 3 and r["flow_end"].microsecond == 7
+            found[r["flow_id"], r["label"]] = found.get((r["flow_id"], r["label"]), 0) + r["times"]
+    assert found == counts
+
+
 def test_topics():
     t = runner.Topics()
     with pytest.raises(ValueError):
