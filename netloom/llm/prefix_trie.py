@@ -11,9 +11,9 @@ Different conversations are inserted in batches, each several times as large as
 1. fat binary search finds the exit node of each conversation of the batch: every step halves an interval of
    depths by one lookup of a handle, so the number of steps grows with the logarithm of the longest conversation;
 2. conversations that leave the trie at the same place with the same next turn are a group. The longest one
-   becomes a leaf at once (an edge that is left in its middle is split there); the others are compared with its
-   edge, and leave that at places of their own: the next groups;
-3. when no group is left, the changed nodes get their new handles.
+   becomes a leaf at once; the others are compared with its edge, and leave that at places of their own: the next
+   groups;
+3. when no group is left, the edges that were left in their middle are split and all nodes get their handles.
 
 Each compacted node then gets its figures from the rows of the conversations that pass it, and edges are
 expanded into one row for each depth. All steps are joins and sums over tables in the shared folder, each
@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -43,7 +44,7 @@ from netloom.session import stage
 PRIMES = ((1 << 50) - 27, (1 << 50) - 35)  # fixed values; sums of a block of terms fit a long
 BASES = (0x2545F4914F6CD, 0x1B873593CC9E2)
 BLOCK_BITS = 12  # a conversation is summed in sorted runs of 2 ** 12 turns
-SHARES = (1, 4, 16)  # batches end at these of 16 parts
+SHARES = (2, 16)  # batches end at these of 16 parts
 STEPS = 3  # lookups of a search between two writes
 
 
@@ -136,6 +137,11 @@ def two_fattest(low: Column, high: Column) -> Column:
 
 
 _EDGE = ["el", "ea", "eb", "pl", "ref"]  # own depth and hashes, depth of the parent, a conversation that passes
+_KEY = ["el", "ea", "eb"]
+_GOING = ["conv", "len", "end_a", "end_b"]  # a conversation to insert, with the hashes of all of it
+
+def _none() -> Column:
+    return F.lit(None).cast("long")
 
 
 class _Trie:
@@ -144,84 +150,83 @@ class _Trie:
     def __init__(self, paths: DataFrame, steps: int):
         self.paths, self.steps, self.nodes, self.handles = paths, steps, None, None
 
-    def _at(self, rows: DataFrame, conv: str, depth: str, **names: str) -> DataFrame:
-        """``rows`` with the hashes (or sums) of a conversation's prefix; NULL where it is not that long."""
+    def at(self, rows: DataFrame, conv: str, depth: str, how: str = "inner", **names: str) -> DataFrame:
+        """``rows`` with the hashes (or sums) of a conversation's prefix."""
         there = self.paths.select("conv", "pos", *[F.col(c).alias(n) for n, c in names.items()])
-        return _same(rows, there, {conv: "conv", depth: "pos"}, "left")
+        return _same(rows, there, {conv: "conv", depth: "pos"}, how)
+
+    def _search(self, batch: DataFrame) -> DataFrame:
+        """The deepest node whose handle is a prefix of each conversation, by fat binary search; NULL for the root."""
+        dictionary = self.handles.select("f", "fa", "fb", *[F.col(c).alias(f"n_{c}") for c in _EDGE])
+        found = batch.withColumns({"l": F.lit(0).cast("long"), "r": F.col("len"), **{c: _none() for c in _EDGE}})
+        for step in range(self.steps):
+            open_ = found.where("l < r").withColumn("f", two_fattest(F.col("l"), F.col("r")))
+            open_ = _same(self.at(open_, "conv", "f", fa="a", fb="b"), dictionary, {"f": "f", "fa": "fa", "fb": "fb"}, "left")
+            hit = F.col("n_el").isNotNull()
+            open_ = open_.select(
+                *_GOING, F.when(hit, F.least("n_el", "r")).otherwise(F.col("l")).alias("l"), F.when(hit, F.col("r")).otherwise(F.col("f") - 1).alias("r"),
+                *[F.when(hit, F.col(f"n_{c}")).otherwise(F.col(c)).alias(c) for c in _EDGE])
+            found = found.where("l >= r").unionByName(open_)
+            if step % STEPS == STEPS - 1:
+                found = stage(found, "search")
+        return found.drop("l", "r")
+
+    def _locate(self, batch: DataFrame) -> DataFrame:
+        """Where each conversation leaves the trie: depth l with its hashes, on an edge or at the edge's end."""
+        zero = F.lit(0).cast("long")
+        if self.nodes is None:
+            return batch.withColumns({"l": zero, "la": zero, "lb": zero, **{c: _none() for c in _EDGE}})
+        found = self._search(batch).withColumn("next", F.coalesce("el", zero) + 1)
+        # A conversation that passes all of the node goes on in the child that begins with its next turn, if there is one.
+        children = self.handles.select((F.col("pl") + 1).alias("next"), "na", "nb", *[F.col(c).alias(f"n_{c}") for c in _EDGE])
+        found = _same(self.at(found, "conv", "next", "left", na="a", nb="b"), children, {"next": "next", "na": "na", "nb": "nb"}, "left")
+        found = stage(found.select(*_GOING, *[F.when(F.col("n_el").isNull(), F.col(c)).otherwise(F.col(f"n_{c}")).alias(c) for c in _EDGE]), "located")
+        at_root = found.where("el IS NULL").withColumns({"l": zero, "la": zero, "lb": zero})
+        return self._matched(found.where("el IS NOT NULL")).unionByName(at_root)
 
     def _matched(self, rows: DataFrame) -> DataFrame:
-        """``rows`` (conv, len, l, edge) with l moved on to the last depth at which conv and the edge agree."""
-        walk = rows.where("el IS NOT NULL AND l < least(len, el)").select("conv", "l", "ref", F.least("len", "el").alias("stop"))
-        own = _same(self.paths.select("conv", "pos", "a", "b"), walk, {"conv": "conv"}).where("pos > l AND pos <= stop").select("conv", "ref", "pos", "a", "b")
+        """``rows`` (conversation and edge, of which they share at least the first turn) with the last depth l at which they agree."""
+        own = _same(self.paths.select("conv", "pos", "a", "b"), rows.withColumnRenamed("conv", "going"), {"conv": "going"})
+        own = own.where("pos > pl AND pos <= least(len, el)")
         edge = self.paths.select(F.col("conv").alias("ref"), "pos", "a", "b")
-        last = own.join(edge, ["ref", "pos", "a", "b"]).groupBy("conv").agg(F.max("pos").alias("m"))
-        return rows.join(last, "conv", "left").withColumn("l", F.greatest("l", F.coalesce("m", F.lit(0)))).drop("m")
-
-    def locate(self, batch: DataFrame) -> DataFrame:
-        """Where each conversation (conv, len) leaves the trie: depth l, and the edge if that is not a node's own depth."""
-        none = F.lit(None).cast("long")
-        found = batch.withColumns({"l": F.lit(0).cast("long"), "r": F.col("len"), **{c: none for c in _EDGE}})
-        if self.nodes is not None:
-            dictionary = self.handles.select("f", "fa", "fb", *[F.col(c).alias(f"n_{c}") for c in _EDGE])
-            for step in range(self.steps):
-                found = found.withColumn("f", F.when(F.col("l") < F.col("r"), two_fattest(F.col("l"), F.col("r"))))
-                found = _same(self._at(found, "conv", "f", fa="a", fb="b"), dictionary, {"f": "f", "fa": "fa", "fb": "fb"}, "left")
-                hit = F.col("n_el").isNotNull()
-                found = found.select(
-                    "conv", "len", F.when(hit, F.least("n_el", "r")).otherwise(F.col("l")).alias("l"),
-                    F.when(hit | F.col("f").isNull(), F.col("r")).otherwise(F.col("f") - 1).alias("r"),
-                    *[F.when(hit, F.col(f"n_{c}")).otherwise(F.col(c)).alias(c) for c in _EDGE])
-                if step % STEPS == STEPS - 1:
-                    found = stage(found, "search")
-            # The last node found is passed if all of it matches; the exit is then in the child with the next turn, if there is one.
-            found = self._at(found, "conv", "el", xa="a", xb="b")
-            passed = F.coalesce((F.col("xa") == F.col("ea")) & (F.col("xb") == F.col("eb")), F.lit(False)) | F.col("el").isNull()
-            found = found.withColumns({"passed": passed, "below": F.when(passed, F.coalesce("el", F.lit(0).cast("long")))}).drop("xa", "xb")
-            found = found.withColumn("next", F.col("below") + 1)
-            children = self.handles.select((F.col("pl") + 1).alias("next"), "na", "nb", *[F.col(c).alias(f"n_{c}") for c in _EDGE])
-            found = _same(self._at(found, "conv", "next", na="a", nb="b"), children, {"next": "next", "na": "na", "nb": "nb"}, "left")
-            found = found.select(
-                "conv", "len", F.when(F.col("passed"), F.col("below")).otherwise(F.col("pl")).alias("l"),
-                *[F.when(F.col("passed"), F.col(f"n_{c}")).otherwise(F.col(c)).alias(c) for c in _EDGE])
-            found = self._matched(found)
-        return stage(found.select("conv", "len", "l", *_EDGE), "exits")
+        agree = own.join(edge, ["ref", "pos", "a", "b"]).groupBy("conv").agg(
+            F.max(F.struct("pos", "a", "b")).alias("last"), *[F.first(c).alias(c) for c in (*_GOING[1:], *_EDGE)])
+        return agree.select(*_GOING, *_EDGE, F.col("last.pos").alias("l"), F.col("last.a").alias("la"), F.col("last.b").alias("lb"))
 
     def insert(self, batch: DataFrame) -> DataFrame:
         """Adds the batch; gives conv and own, the depth after which the turns are the conversation's own."""
-        exits, owned = self.locate(batch), None
+        exits, leaving, leaves = self._locate(batch), [], []
         while True:
-            exits = stage(self._at(self._at(exits, "conv", "l", la="a", lb="b").withColumn("next", F.col("l") + 1), "conv", "next", ca="a", cb="b"), "leaving")
-            longest = F.max(F.struct("len", (-F.col("conv")).alias("least"))).alias("m")
-            leads = exits.where("l < len").groupBy("l", "ca", "cb").agg(longest).select("l", "ca", "cb", F.col("m.len").alias("el"), (-F.col("m.least")).alias("ref"))
-            leads = stage(self._at(leads, "ref", "el", ea="a", eb="b"), "leads")
-            self._grow(exits, leads)
-            ended = exits.where("l = len").select("conv", F.col("l").alias("own")).union(leads.select("ref", "l"))
-            owned = ended if owned is None else owned.union(ended)
-            rest = _same(exits.where("l < len").select("conv", "len", "l", "ca", "cb"), leads, {"l": "l", "ca": "ca", "cb": "cb"}).where("conv != ref")
-            exits = stage(self._matched(rest.withColumn("pl", F.col("l")).select("conv", "len", "l", *_EDGE)), "exits")
-            if exits.isEmpty():
+            exits = exits.withColumn("next", F.col("l") + 1)
+            ended = exits.where("l = len").withColumns({"ca": _none(), "cb": _none()})
+            leaving.append(stage(self.at(exits.where("l < len"), "conv", "next", ca="a", cb="b").unionByName(ended), "leaving"))
+            going = leaving[-1].where("l < len")
+            longest = F.max(F.struct("len", (-F.col("conv")).alias("least"), "end_a", "end_b")).alias("m")
+            leads = going.groupBy("l", "ca", "cb").agg(longest, F.count("*").alias("n")).select(
+                "l", "ca", "cb", F.col("m.len").alias("el"), F.col("m.end_a").alias("ea"), F.col("m.end_b").alias("eb"), (-F.col("m.least")).alias("ref"), "n")
+            leaves.append(stage(leads, "leaves"))
+            if leaves[-1].where("n > 1").isEmpty():
                 break
-        self._store()
-        return stage(owned, "owned")
-
-    def _grow(self, exits: DataFrame, leads: DataFrame) -> None:
-        """Splits the edges that are left in their middle, and adds the new leaves."""
-        new = leads.select("el", "ea", "eb", F.col("l").alias("pl"), "ref")
+            group = {"l": "l", "ca": "ca", "cb": "cb"}
+            rest = _same(going.select(*_GOING, *group), leaves[-1].where("n > 1").drop("n"), group).where("conv != ref").withColumnRenamed("l", "pl")
+            exits = stage(self._matched(rest.select(*_GOING, *_EDGE)), "exits")
+        self._grow(reduce(DataFrame.unionByName, leaving), reduce(DataFrame.unionByName, leaves))
+        return reduce(DataFrame.union, [x.where("l = len").select("conv", F.col("l").alias("own")) for x in leaving] + [x.select("ref", "l") for x in leaves])
+
+    def _grow(self, leaving: DataFrame, leaves: DataFrame) -> None:
+        """Adds the new leaves and splits the edges, old and new, that were left in their middle; then names all nodes."""
+        edges = leaves.select("el", "ea", "eb", F.col("l").alias("pl"), "ref")
         if self.nodes is not None:
-            key = ["el", "ea", "eb"]
-            splits = exits.where("el IS NOT NULL AND l < el").groupBy(*key, "l", "la", "lb").agg(F.min("conv").alias("by"), F.first("pl").alias("pl"))
-            ends = self.nodes.join(splits.select(*key).distinct(), key, "left_semi")
-            points = splits.select(*key, "pl", F.col("l").alias("d"), F.col("la").alias("da"), F.col("lb").alias("db"), F.col("by").alias("ref")).unionByName(
-                ends.select(*key, "pl", F.col("el").alias("d"), F.col("ea").alias("da"), F.col("eb").alias("db"), "ref"))
-            along = Window.partitionBy(*key).orderBy("d")
-            chain = points.select(F.col("d").alias("el"), F.col("da").alias("ea"), F.col("db").alias("eb"), F.coalesce(F.lag("d").over(along), F.col("pl")).alias("pl"), "ref")
-            new = self.nodes.join(splits.select(*key).distinct(), key, "left_anti").select(*_EDGE).union(chain.select(*_EDGE)).union(new)
-        self.nodes = stage(new.select(*_EDGE), "nodes")
-
-    def _store(self) -> None:
-        """Handles and names (prefixes one turn longer than the parent) of all nodes."""
+            edges = self.nodes.unionByName(edges)
+        splits = leaving.where("l < el").groupBy(*_KEY, "l", "la", "lb").agg(F.min("conv").alias("ref"), F.first("pl").alias("pl"))
+        points = splits.select(*_KEY, "pl", F.col("l").alias("d"), F.col("la").alias("da"), F.col("lb").alias("db"), "ref").unionByName(
+            edges.select(*_KEY, "pl", F.col("el").alias("d"), F.col("ea").alias("da"), F.col("eb").alias("db"), "ref"))
+        along = Window.partitionBy(*_KEY).orderBy("d")
+        self.nodes = stage(points.select(
+            F.col("d").alias("el"), F.col("da").alias("ea"), F.col("db").alias("eb"), F.coalesce(F.lag("d").over(along), F.col("pl")).alias("pl"), "ref"), "nodes")
+        # The handle, and the name: the prefix that is one turn longer than the parent.
         named = self.nodes.withColumns({"f": two_fattest(F.col("pl"), F.col("el")), "next": F.col("pl") + 1})
-        self.handles = stage(self._at(self._at(named, "ref", "f", fa="a", fb="b"), "ref", "next", na="a", nb="b").drop("next"), "handles")
+        self.handles = stage(self.at(self.at(named, "ref", "f", fa="a", fb="b"), "ref", "next", na="a", nb="b").drop("next"), "handles")
 
 
 def _end_digests(ends: DataFrame) -> DataFrame:
@@ -269,16 +274,16 @@ def trie_nodes(turns: DataFrame, convs: DataFrame) -> DataFrame:
     trie = _Trie(different, int(shape["longest"]).bit_length())
     lot, before, owned = F.pmod(F.xxhash64("conv"), F.lit(SHARES[-1])), 0, None
     for share in SHARES:
-        batch = classes.where((lot >= before) & (lot < share)).select("conv", "len")
+        batch = classes.where((lot >= before) & (lot < share)).select("conv", "len", F.col("a").alias("end_a"), F.col("b").alias("end_b"))
         added = trie.insert(batch)
         owned, before = added if owned is None else owned.union(added), share
 
     # What each compacted node has: figures of the conversations that pass its own depth.
-    edges = stage(trie._at(trie.nodes, "ref", "pl", pa="a", pb="b"), "edges")
+    edges = trie.at(trie.nodes, "ref", "pl", pa="a", pb="b")
     children = edges.groupBy("pl", "pa", "pb").agg(F.count("*").alias("n_children"))
     edges = edges.join(children.toDF("el", "ea", "eb", "n_children"), ["el", "ea", "eb"], "left").fillna(0, ["n_children"])
     edges = stage(edges, "edges")
-    members = trie._at(classes.select("conv", "copies", "all_words").join(owned, "conv"), "conv", "own", own_words="sum")
+    members = trie.at(classes.select("conv", "copies", "all_words").join(owned, "conv"), "conv", "own", own_words="sum")
     members = members.join(edges.where("n_children = 0").select(F.col("ref").alias("conv"), F.lit(1).alias("leaf")), "conv", "left").fillna(0, ["leaf"])
     before_turn = F.col("sum") - F.col("words")
     saved = F.greatest(F.col("own_words") - before_turn, F.lit(0)) + (F.col("copies") - 1) * (F.col("all_words") - before_turn)
@@ -297,10 +302,10 @@ def trie_nodes(turns: DataFrame, convs: DataFrame) -> DataFrame:
     full = nodes.join(above, ["pl", "pa", "pb"], "left").join(digests, ["el", "ea", "eb"], "left")
     full = full.join(root.select(F.col("least").alias("root_least")), F.lit(True))
     full = full.withColumn("above", F.when(F.col("pl") == 0, F.col("root_least")).otherwise(F.col("above")))
-    full = trie._at(full.withColumn("last", F.col("el") - 1), "ref", "last", last_words="sum")
+    full = trie.at(full.withColumn("last", F.col("el") - 1), "ref", "last", last_words="sum")
     blocks = full.withColumn("block", F.explode(F.sequence(F.col("pl") + 1, F.col("el"), F.lit(1 << BLOCK_BITS).cast("long"))))
     spread = blocks.withColumn("depth", F.explode(F.sequence(F.col("block"), F.least(F.col("block") + (1 << BLOCK_BITS) - 1, F.col("el")))))
-    spread = trie._at(spread, "ref", "depth", sum="sum", words="words")
+    spread = trie.at(spread, "ref", "depth", sum="sum", words="words")
     own, inner = F.col("depth") == F.col("el"), F.col("depth") - 1 > F.col("pl")
     rows = spread.select(
         F.col("least").alias("conv_id"), "depth", F.when(inner, F.col("least")).otherwise(F.col("above")).alias("parent_conv_id"), "n_convs",
