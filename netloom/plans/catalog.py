@@ -251,6 +251,13 @@ def alerts_dedup(spark, sf):
     return _fired(spark, sf).select("alert_id", "alert_ts", "suppressed_since_last", "suppression_note")
 
 
+@query
+def alerts_dedup_blocks(spark, sf):
+    """All alerts as one fingerprint in blocks of two windows, cut by rows and composed over several levels."""
+    a = _stored_alerts(spark, sf).withColumns({"_src_ip": F.lit("any"), "_dst_ip": F.lit("any"), "_dst_port": F.lit(0)})
+    return dedup.fired_ids(a, 7200.0, 2, block_rows=64, group_rows=256).select("alert_id", "suppressed")
+
+
 @query
 def alert_incident_map(spark, sf):
     a = incidents.assign_incidents(_fired(spark, sf), views.INCIDENT_SECONDS)

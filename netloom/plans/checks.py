@@ -418,6 +418,12 @@ UNION ALL SELECT 'Attack', round(tp / (tp + fp)::DOUBLE, 6), round(tp / (tp + fn
 SQL["stream_flows"] = _with(F_) + (
     f"SELECT * REPLACE ({_R}) FROM flows WHERE floor((epoch_us(flow_end) + {GAP_SECONDS * 1000000}) / 1000) + 1 <= (SELECT floor(epoch_us(max(ts)) / 1000) FROM events)")
 SQL["stream_dedup"] = SQL["alerts_dedup"]
+SQL["alerts_dedup_blocks"] = _with(A_) + """
+, ranked AS (SELECT alert_id, us, row_number() OVER (ORDER BY us, alert_id) AS r FROM (SELECT alert_id, epoch_us(alert_ts) AS us FROM alerts)),
+chain AS (SELECT r, alert_id, us AS last, 0 AS held, true AS fires, 0 AS suppressed FROM ranked WHERE r = 1
+  UNION ALL SELECT x.r, x.alert_id, CASE WHEN x.us - c.last >= 7200000000 THEN x.us ELSE c.last END, CASE WHEN x.us - c.last >= 7200000000 THEN 0 ELSE c.held + 1 END,
+    x.us - c.last >= 7200000000, CASE WHEN x.us - c.last >= 7200000000 THEN c.held ELSE 0 END FROM chain c JOIN ranked x ON x.r = c.r + 1)
+SELECT alert_id, suppressed::BIGINT AS suppressed FROM chain WHERE fires""".lstrip()
 SQL["stream_incidents"] = _with(A_, _incidents("alerts", False)) + f"""
 SELECT incident_id, src_ip, start_time, end_time, alert_count, max_severity, 'closed' AS status FROM incidents
 WHERE floor((epoch_us(end_time) + {INCIDENT_SECONDS * 1000000}) / 1000) <= (SELECT floor(epoch_us(max(alert_ts)) / 1000) FROM alerts)"""

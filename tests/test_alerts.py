@@ -52,6 +52,42 @@ def test_dedup_against_sequential_model(spark):
         assert got == want, blocks
 
 
+def test_dedup_tree_of_blocks(spark, monkeypatch):
+    """Busy fingerprints over many levels, blocks cut by rows inside a window; no group is larger than its bound."""
+    rnd = random.Random(6)
+    rows = []
+    for i in range(4000):
+        k = rnd.choice([0, 0, 0, 1, 2, 3])
+        t = {0: rnd.random() * 600, 1: rnd.randrange(600_000) / 1000, 2: 100 + rnd.random() * 3, 3: (i % 997) * 0.5}[k]
+        rows.append((i, round(t, 6), f"1.1.1.{k}", "low"))
+    rows.sort(key=lambda r: (r[1], r[0]))
+    want = {}
+    for src in {r[2] for r in rows}:
+        mine = [r for r in rows if r[2] == src]
+        for i, held in simulate.fires([r[1] for r in mine], 2.0):
+            want[mine[i][0]] = held
+    seen, plain = {}, dedup.stage
+
+    def watched(df, name):
+        out = plain(df, name)
+        keys = {"blocks": ["fp", "block"], "busy": ["fp", "grp"]}.get(name)
+        if keys:
+            seen.setdefault(name, []).append(out.groupBy(*keys).count().agg(F.max("count")).first()[0])
+        return out
+
+    monkeypatch.setattr(dedup, "stage", watched)
+    df = alert_frame(spark, rows).repartition(5).cache()
+    levels = []
+    for block_windows, block_rows, group_rows in ((1, 40, 60), (1, 8, 24), (4, 25, 100)):
+        seen.clear()
+        got = {r[0]: r[1] for r in dedup.fired_ids(df, 2.0, block_windows, block_rows, group_rows).collect()}
+        assert got == want
+        assert max(seen["blocks"]) <= 2 * block_rows
+        assert max(seen["busy"]) <= group_rows + 2 * block_rows
+        levels.append(len(seen["busy"]))
+    assert max(levels) >= 2
+
+
 def test_whole_groups_keeps_groups_together():
     import pyarrow as pa
 
