@@ -654,53 +654,77 @@ def class_report(spark, sf):
 
 
 # ---------------------------------------------------------------- streams
-# Each runs over the files there are and then ends; what is still open at the last watermark stays in state.
+# Each takes its table in several later stretches of time, one batch after the other; what is still open at the
+# last watermark stays in state.
 
-def _event_stream(spark, sf) -> DataFrame:
-    schema = views.table(spark, sf, "events").schema
-    return spark.readStream.schema(schema).parquet(f"{sf}/event[s].parquet")
+TURNS = 5
 
 
-def _packet_stream(spark, sf) -> DataFrame:
-    p = views.packets_from_events(_event_stream(spark, sf))
-    return p.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "0 seconds")
+def _turns(df: DataFrame, ts: str, *others: tuple[DataFrame, str]) -> tuple[list[DataFrame], list[Callable[[], None]]]:
+    """Tables as streams that grow by ``TURNS`` later stretches of time, and what lets them grow.
 
+    Every stretch is a batch of its own, so state and watermark are carried from one to the next.
+    """
+    spark, tables = df.sparkSession, [(df, ts), *others]
+    paths = [run_dir(spark, "turns") for _ in tables]
+    for (d, _), path in zip(tables, paths, strict=True):
+        d.limit(0).write.parquet(path)
+    spans = [d.agg(F.min(t).cast("timestamp"), F.max(t).cast("timestamp")).first() for d, t in tables]
+    low, high = min(x[0] for x in spans), max(x[1] for x in spans)
+    edges = [low + (high - low) * i / TURNS for i in range(1, TURNS)]
+
+    def feed(turn: int) -> Callable[[], None]:
+        def append() -> None:
+            for (d, t), path in zip(tables, paths, strict=True):
+                stamp = F.col(t).cast("timestamp")
+                after = stamp >= edges[turn - 1] if turn else F.lit(True)
+                d.where(after & (stamp < edges[turn] if turn < TURNS - 1 else F.lit(True))).write.mode("append").parquet(path)
+        return append
+
+    streams = [spark.readStream.schema(d.schema).parquet(path).withColumn(t, F.col(t).cast("timestamp")).withWatermark(t, "0 seconds") for (d, t), path in zip(tables, paths, strict=True)]
+    return streams, [feed(i) for i in range(TURNS)]
 
-def _ntz(df: DataFrame) -> DataFrame:
-    return df.select(*[F.col(c).cast("timestamp_ntz").alias(c) if t == "timestamp" else F.col(c) for c, t in df.dtypes])
 
+def _packet_turns(spark, sf) -> tuple[DataFrame, list[Callable[[], None]]]:
+    (packets,), feeds = _turns(stage(views.packets(spark, sf), "packets"), "ts")
+    return packets, feeds
 
-def _alert_stream(spark, sf) -> DataFrame:
-    """Stored alerts as a file stream."""
-    stored = _stored_alerts(spark, sf)
-    path = stored.inputFiles()[0].rsplit("/", 1)[0]
-    a = spark.readStream.schema(stored.schema).parquet(path)
-    return a.withColumn("alert_ts", F.col("alert_ts").cast("timestamp")).withWatermark("alert_ts", "0 seconds")
+
+def _alert_turns(spark, sf) -> tuple[DataFrame, list[Callable[[], None]]]:
+    (alerts,), feeds = _turns(_stored_alerts(spark, sf), "alert_ts")
+    return alerts, feeds
+
+
+def _ntz(df: DataFrame) -> DataFrame:
+    return df.select(*[F.col(c).cast("timestamp_ntz").alias(c) if t == "timestamp" else F.col(c) for c, t in df.dtypes])
 
 
 @query
 def stream_flows(spark, sf):
     from netloom.streaming.flow_state import stream_flows as run
-    from netloom.streaming.runner import drain
+    from netloom.streaming.runner import drain_in_turns
 
-    return rounded_waits(_ntz(drain(run(_packet_stream(spark, sf), views.GAP_SECONDS, views.HOME_NETS), "stream-flows")))
+    packets, feeds = _packet_turns(spark, sf)
+    return rounded_waits(_ntz(drain_in_turns(run(packets, views.GAP_SECONDS, views.HOME_NETS), "stream-flows", feeds)))
 
 
 @query
 def stream_dedup(spark, sf):
     from netloom.streaming.dedup_state import stream_dedup as run
-    from netloom.streaming.runner import drain
+    from netloom.streaming.runner import drain_in_turns
 
-    fired = drain(run(_alert_stream(spark, sf).select("alert_id", "alert_ts", "_src_ip", "_dst_ip", "_dst_port", "label"), views.DEDUP_SECONDS), "stream-dedup")
+    alerts, feeds = _alert_turns(spark, sf)
+    fired = drain_in_turns(run(alerts.select("alert_id", "alert_ts", "_src_ip", "_dst_ip", "_dst_port", "label"), views.DEDUP_SECONDS), "stream-dedup", feeds)
     return _ntz(fired.select("alert_id", "alert_ts", "suppressed_since_last", "suppression_note"))
 
 
 @query
 def stream_incidents(spark, sf):
     from netloom.streaming.operators import stream_incidents as run
-    from netloom.streaming.runner import drain
+    from netloom.streaming.runner import drain_in_turns
 
-    out = drain(run(_alert_stream(spark, sf), views.INCIDENT_SECONDS), "stream-incidents")
+    alerts, feeds = _alert_turns(spark, sf)
+    out = drain_in_turns(run(alerts, views.INCIDENT_SECONDS), "stream-incidents", feeds)
     return _ntz(out.select("incident_id", "src_ip", "start_time", "end_time", "alert_count", "max_severity", "status"))
 
 
@@ -737,9 +761,10 @@ def stream_label_join(spark, sf):
 @query
 def stream_rates(spark, sf):
     from netloom.streaming.operators import stream_rates as run
-    from netloom.streaming.runner import drain
+    from netloom.streaming.runner import drain_in_turns
 
-    return _ntz(drain(run(_packet_stream(spark, sf), "ts", "6 hours", "1 hour"), "stream-rates"))
+    packets, feeds = _packet_turns(spark, sf)
+    return _ntz(drain_in_turns(run(packets, "ts", "6 hours", "1 hour"), "stream-rates", feeds))
 
 
 # ---------------------------------------------------------------- models

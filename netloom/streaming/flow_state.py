@@ -1,10 +1,13 @@
 """Packets -> flows on a stream.
 
-Per key only running totals are kept, never packets. A micro-batch brings a key's new packets, which
-are sorted, cut at long gaps and folded into the totals with numpy. A key may have several open flows: a
-flow leaves when the watermark lies beyond its gap, as late packets can reach it until then. Packets that
-arrive late add an inter-arrival time of 0 to the flow they fall into; if they close the gap between two
-flows, these become one.
+State has two levels, and packets reach neither. A micro-batch's packets of one key and time slice are a group
+of their own, which is sorted and folded into one row of running totals; a slice is no longer than the gap, so
+no flow breaks inside it. The state of a key sees these rows only, a few for each slice, and joins them in time
+order to the flows it holds. A busy key is thus folded by as many tasks as it has slices.
+
+A key may have several open flows: a flow leaves when the watermark lies beyond its gap, as late packets can
+reach it until then. Packets that arrive late, before the end of the flow they fall into, add a wait of 0 there
+beside the waits among themselves; if they close the gap between two flows, these become one.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from netloom.functions.times import to_micros
+from netloom.functions.times import slice_of, to_micros
 from netloom.operators.flows import FLAGS, KEY, _features, _measures, _source_side
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -28,6 +31,8 @@ _TOTALS = [*_ADDED, "max_lo", "max_hi", "first_us", "last_us", "flow_code", "tur
 _STATE = ", ".join(f"{c} bigint" for c in _TOTALS) + ", iat_sq double"
 _KEY_TYPES = "lo_ip string, lo_port int, hi_ip string, hi_port int, protocol int"
 _OUT = f"{_KEY_TYPES}, {_STATE}"
+_UNKNOWN = -(1 << 62)  # stands for NULL on the way to the state, where NULLs would turn whole numbers into doubles
+SLICE_SECONDS = 60.0
 
 
 def _fold(state: dict | None, cols: dict, lo: int, hi: int) -> dict:
@@ -90,13 +95,31 @@ def _joined(a: dict, b: dict) -> dict:
             s["turn_code"], s["skipped_us"], s["after_max"] = b["turn_code"], b["skipped_us"], b["after_max"]
             s["before_n"], s["before_len"] = a["n"] + b["before_n"], a["len_all"] + b["before_len"]
             s["before_max"] = max(a["max_lo"], b["before_max"])
-    s["iat_sq"] += b["iat_sq"] + ((wait / 1e6) ** 2 if counted else 0.0)
-    own = [x for x in (a["iat_max"], b["iat_max"], wait if counted else None) if x is not None]
-    low = [x for x in (a["iat_min"], b["iat_min"], wait if counted else None) if x is not None]
+    # A wait left out in b, before what was its first opening packet, counts if the whole has turned or opened before.
+    settled = a["turn_code"] is not None or a["flow_code"] & 1
+    waits = ([wait] if counted else []) + ([b["skipped_us"]] if settled and b["turn_code"] is not None else [])
+    s["iat_sq"] += b["iat_sq"] + sum((w / 1e6) ** 2 for w in waits)
+    own = [x for x in (a["iat_max"], b["iat_max"], *waits) if x is not None]
+    low = [x for x in (a["iat_min"], b["iat_min"], *waits) if x is not None]
     s["iat_max"], s["iat_min"] = max(own, default=None), min(low, default=None)
     return s
 
 
+def _fold_slice(key, table):
+    """The packets of one key and slice as one row of totals."""
+    import numpy as np
+    import pyarrow as pa
+
+    us, code = table["us"].to_numpy(), table["code"].to_numpy()
+    order = np.lexsort((code, us))
+    cols = {c: table[c].to_numpy()[order] for c in ["us", "code", *_ADDED, "max_lo", "max_hi"]}
+    totals = _fold(None, cols, 0, len(order))
+    names = [*KEY, *_TOTALS, "iat_sq"]
+    values = [*(k.as_py() for k in key[: len(KEY)]), *(_UNKNOWN if totals[c] is None else totals[c] for c in _TOTALS), totals["iat_sq"]]
+    kinds = [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), *[pa.int64()] * len(_TOTALS), pa.float64()]
+    return pa.table([pa.array([v], k) for v, k in zip(values, kinds)], names)
+
+
 class FlowProcessor(StatefulProcessor):
     def __init__(self, gap_us: int):
         self.gap_us = gap_us
@@ -126,29 +149,27 @@ class FlowProcessor(StatefulProcessor):
         return (flow["last_us"] + self.gap_us) // 1000 + 1
 
     def handleInputRows(self, key, rows, timerValues):
-        import numpy as np
-        import pandas as pd
-
-        pdf = pd.concat(list(rows), ignore_index=True).sort_values(["us", "code"], kind="stable")
-        cols = {c: pdf[c].to_numpy() for c in ["us", "code", *_ADDED, "max_lo", "max_hi"]}
+        names, new = [*_TOTALS, "iat_sq"], []
+        for batch in rows:
+            columns = [batch[c].tolist() for c in names]
+            new += [{c: None if v == _UNKNOWN else v for c, v in zip(names, row)} for row in zip(*columns)]
+        new.sort(key=lambda f: (f["first_us"], f["flow_code"]))
         flows = self._load()
         before = {self._expiry(f) for f in flows}
-        breaks = np.flatnonzero(np.diff(cols["us"]) > self.gap_us) + 1
-        edges = [0, *breaks.tolist(), len(pdf)]
-        for lo, hi in zip(edges[:-1], edges[1:]):
-            first, last = int(cols["us"][lo]), int(cols["us"][hi - 1])
-            near = sorted((f for f in flows if first <= f["last_us"] + self.gap_us and last >= f["first_us"] - self.gap_us), key=lambda f: f["first_us"])
+        for part in new:
+            first, last = part["first_us"], part["last_us"]
+            near = [f for f in flows if first <= f["last_us"] + self.gap_us and last >= f["first_us"] - self.gap_us]
             flows = [f for f in flows if f not in near]
-            state = near[0] if near else None
-            for other in near[1:]:
+            state, *others = sorted([*near, part], key=lambda f: (f["first_us"], f["flow_code"]))
+            for other in others:
                 state = _joined(state, other)
-            flows.append(_fold(state, cols, lo, hi))
+            flows.append(state)
         self._keep(flows)
         after = {self._expiry(f) for f in flows}
         for gone in before - after:
             self.handle.deleteTimer(gone)
-        for new in after - before:
-            self.handle.registerTimer(new)
+        for timer in after - before:
+            self.handle.registerTimer(timer)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
@@ -165,7 +186,9 @@ class FlowProcessor(StatefulProcessor):
 
 def stream_flows(packets: DataFrame, gap_seconds: float = 20.0, home_nets: Iterable[str] = (), orient: str = "first_syn") -> DataFrame:
     """Closed flows of a packet stream (``ts`` watermarked), same columns as the batch operator."""
-    measures = _measures(packets, "ts")
-    closed = measures.groupBy(*KEY).transformWithStateInPandas(
+    width = to_micros(min(gap_seconds, SLICE_SECONDS))
+    measures = _measures(packets).withColumn("slice", slice_of(F.col("us"), width)).drop("syn_code")
+    parts = measures.groupBy(*KEY, "slice").applyInArrow(_fold_slice, _OUT)
+    closed = parts.groupBy(*KEY).transformWithStateInPandas(
         FlowProcessor(to_micros(gap_seconds)), _OUT, "Append", "EventTime")
     return _features(closed.withColumn("src_lo", _source_side(orient)), home_nets, False, orient)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -76,6 +76,17 @@ def drain(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(f"{root}/out")
 
 
+def drain_in_turns(df: DataFrame, name: str, feeds: Iterable[Callable[[], None]]) -> DataFrame:
+    """Like :func:`drain`, but runs the stream once after each feed; state and watermark go on from run to run."""
+    spark = df.sparkSession
+    use_rocksdb(spark)
+    root = run_dir(spark, name)
+    for feed in feeds:
+        feed()
+        to_parquet(df, f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{root}/out")
+
+
 def late_rows(query: StreamingQuery) -> int:
     """Rows dropped behind the watermark over the query's recent batches."""
     return sum(op.get("numRowsDroppedByWatermark", 0) for p in query.recentProgress for op in p["stateOperators"])

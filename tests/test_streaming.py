@@ -1,6 +1,9 @@
 import datetime as dt
 import random
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 import simulate
 from pyspark.sql import functions as F
@@ -121,6 +124,84 @@ def test_stream_labels_equal_all_pairs(spark, tmp_path):
     assert found == counts
 
 
+class _Handle:
+    """State of one key in memory."""
+
+    def __init__(self):
+        self.kept, self.timers = None, set()
+
+    def getListState(self, *_):
+        return self
+
+    getValueState = getListState
+
+    def exists(self):
+        return self.kept is not None
+
+    def get(self):
+        return self.kept
+
+    def put(self, rows):
+        self.kept = rows
+
+    update = put
+
+    def clear(self):
+        self.kept = None
+
+    def registerTimer(self, ms):
+        self.timers.add(ms)
+
+    def deleteTimer(self, ms):
+        self.timers.discard(ms)
+
+
+def test_one_key_with_a_million_alerts():
+    """The rows of one fingerprint come in 250 chunks; what is held is far less than the rows as they come."""
+    import pandas as pd
+
+    from netloom.streaming.dedup_state import DedupProcessor
+
+    n, chunk = 1_000_000, 4000
+    columns = ["alert_id", "alert_ts", "_src_ip", "message"]
+    handle, processor = _Handle(), DedupProcessor(60_000_000, columns, None)
+    processor.init(handle)
+    order = np.random.default_rng(1).permutation(n)
+    text = "a rule message that every alert of this fingerprint repeats in full, word for word"
+
+    def rows():
+        for at in range(0, n, chunk):
+            i = order[at : at + chunk]
+            yield pd.DataFrame({"a": i, "b": pd.to_datetime(i * 1000, unit="us"), "c": ["10.0.0.1"] * chunk, "d": [text] * chunk, "e": ["f"] * chunk, "f": i * 1000})
+
+    tracemalloc.start()
+    before = pa.total_allocated_bytes()
+    fired, most = [], 0
+    for part in processor.handleInputRows(("f",), rows(), None):
+        fired.append(part)
+        most = max(most, pa.total_allocated_bytes() - before)
+    peak = tracemalloc.get_traced_memory()[1] + most
+    tracemalloc.stop()
+    fired = pd.concat(fired).sort_values("alert_id")
+    assert fired["alert_id"].tolist() == list(range(0, n, 60_000)) and set(fired["message"]) == {text}
+    assert fired["suppressed_since_last"].tolist() == [0] + [59_999] * (len(fired) - 1)
+    assert handle.kept == (960_000_000, n - 960_001)
+    assert peak < 100 * n  # the rows themselves are several times that
+
+
+def test_busy_key_over_several_batches(spark, make_packets, tmp_path):
+    """Packets of a busy key reach the state as one row for each slice, over six batches, and give the sequential model's flows."""
+    rng = random.Random(13)
+    rows = [dict(tcp(t / 1000, "10.0.0.1" if rng.random() < 0.5 else "9.9.9.9", 5, "9.9.9.9" if rng.random() < 0.5 else "10.0.0.1", 5, rng.randint(40, 1500)), packet_id=i, protocol=6)
+            for i, t in enumerate(sorted(rng.randrange(240_000) for _ in range(3000)))]
+    path = str(tmp_path / "in")
+    write_in_files(make_packets(rows), path, 6, "ts")
+    make_packets([dict(tcp(5000, "1.1.1.1", 1, "2.2.2.2", 2), packet_id=9000, protocol=6)]).coalesce(1).write.mode("append").parquet(path)
+    stream = stream_packets(spark, path, delay="1 seconds", files_per_trigger=1)
+    got = runner.drain(stream_flows(stream, 7.0), "t-busy").collect()
+    simulate.same_flows(got, simulate.flows(rows, 7.0))
+
+
 def test_topics():
     t = runner.Topics()
     with pytest.raises(ValueError):
