@@ -161,10 +161,25 @@ def timeline(alerts: DataFrame, seconds: int = 30, ts: str = "alert_ts") -> Data
     return fill_bins(counts, "bin", seconds)
 
 
+SPINE = 4096  # entries of the longest array that a spine is made of
+
+
 def fill_bins(counts: DataFrame, column: str, seconds: int) -> DataFrame:
-    """Adds the missing bins between the first and the last with n = 0. One row per bin in the span."""
+    """Adds the missing bins between the first and the last with n = 0. One row per bin in the span.
+
+    The spine is made in three steps of arrays no longer than ``SPINE`` (a span may have ``SPINE``**3 bins); the fine bins
+    of each coarse cell are made, and joined, in parallel. A single stray time costs its empty bins and no more.
+    """
     span = counts.agg(F.min(column).alias("a"), F.max(column).alias("b")).where("a is not null")
-    spine = span.select(F.explode(F.sequence("a", "b", F.expr(f"interval {int(seconds)} seconds"))).alias(column))
+    bins = F.expr(f"timestampdiff(SECOND, a, b) div {int(seconds)}")  # number of the last one
+
+    def upto(last: Column) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.least(last, F.lit(SPINE - 1).cast("long"))))
+
+    coarse = span.select("a", bins.alias("last")).withColumn("i", upto(F.floor(F.col("last") / SPINE**2)))
+    cells = coarse.withColumn("j", upto(F.floor((F.col("last") - F.col("i") * SPINE**2) / SPINE))).withColumn("at", (F.col("i") * SPINE + F.col("j")) * SPINE)
+    fine = cells.repartition("i", "j").withColumn("k", upto(F.col("last") - F.col("at")))
+    spine = fine.select(F.expr(f"a + make_dt_interval(0, 0, 0, cast((at + k) * {int(seconds)} AS decimal(18, 6)))").alias(column))
     return spine.join(counts, column, "left").select(column, F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 

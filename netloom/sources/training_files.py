@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import logging
+import sys
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,30 +14,41 @@ from netloom.operators.training import clean_lenient, clean_strict, harmonise, u
 from netloom.session import stage
 
 log = logging.getLogger(__name__)
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def _header(spark: SparkSession, path: str, encoding: str) -> list[str]:
-    head = spark.read.option("header", True).option("encoding", encoding).csv(path)
-    return head.columns
+def _first_lines(batches):
+    """The first line of a file, if this task's split is the file's first; reads one batch of it."""
+    import pyarrow as pa
 
+    for batch in batches:
+        if batch.num_rows:
+            if batch.column("start")[0].as_py() == 0:
+                yield pa.RecordBatch.from_arrays([batch.column("path").slice(0, 1), batch.column("value").slice(0, 1)], ["path", "header"])
+            return
 
-def _files(spark: SparkSession, folder: str, recursive: bool) -> list[str]:
-    """CSV paths, sorted; file names only, no contents are read here."""
-    df = (
-        spark.read.format("binaryFile").option("pathGlobFilter", "*.csv")
-        .option("recursiveFileLookup", str(recursive).lower()).load(folder).select("path")
+
+def _headers(spark: SparkSession, folder: str, recursive: bool) -> list[tuple[str, str]]:
+    """(path, first line) of the CSVs of a folder, by one job with a task for each split that reads no more than its beginning."""
+    packed, size = spark.conf.get("spark.sql.files.openCostInBytes"), spark.conf.get("spark.sql.files.maxPartitionBytes")
+    lines = (
+        spark.read.option("pathGlobFilter", "*.csv").option("recursiveFileLookup", str(recursive).lower()).text(folder)
+        .select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), "value")
     )
-    return sorted(r.path for r in df.toLocalIterator())
+    spark.conf.set("spark.sql.files.openCostInBytes", size)  # no two files in one task
+    try:
+        return sorted(tuple(r) for r in lines.mapInArrow(_first_lines, "path string, header string").collect())
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", packed)
 
 
 def _by_header(spark: SparkSession, folder: str, recursive: bool, encoding: str) -> list[DataFrame]:
     """One frame per distinct header: files with the same header are read together."""
-    paths = _files(spark, folder, recursive)
-    if not paths:
+    groups: dict[str, list[str]] = {}
+    for path, header in _headers(spark, folder, recursive):
+        groups.setdefault(header, []).append(path)
+    if not groups:
         raise FileNotFoundError(f"no CSV files in {folder}")
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for p in paths:
-        groups.setdefault(tuple(_header(spark, p, encoding)), []).append(p)
     read = spark.read.option("header", True).option("encoding", encoding)
     return [read.csv(ps) for ps in groups.values()]
 

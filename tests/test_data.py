@@ -189,3 +189,48 @@ def test_labels_make_no_pairs(spark):
     counted = labels.label_counts(f, a, 5.0)
     assert sum(r["times"] for r in counted.collect()) == 3000 * 3000
     assert 6000 <= most_rows(counted) <= 12_000  # flows and edge values, each row once
+
+
+def test_cuts_descend_until_few_rows_are_ranked(spark):
+    """Parts of no more than ten rows are ranked: the digest is read four digits further at a time."""
+    df = spark.range(3000).select("id", (F.col("id") % 3).alias("g"))
+    digest = F.concat(F.lit("abcd" * 3), F.md5(F.col("id").cast("string")))
+    few = {r["g"]: r["cut"] for r in ranking.rank_cuts(df, F.col("g"), digest, F.floor(F.col("n") * 0.37), ranked_rows=10).collect()}
+    ordered = sorted((r["g"], r["h"]) for r in df.select("g", digest.alias("h")).collect())
+    for g in range(3):
+        mine = [h for k, h in ordered if k == g]
+        assert few[g] == mine[370 - 1]
+    # One digest for all rows: nothing is left to tell them apart.
+    same = ranking.rank_cuts(df, F.lit(0), F.lit("ab" * 16), F.lit(1500), ranked_rows=10).collect()
+    assert [r["cut"] for r in same] == ["ab" * 16]
+
+
+def test_one_stray_time_costs_its_bins_only(spark):
+    rows = [(T0 + dt.timedelta(seconds=30 * i), 2) for i in (0, 1, 5)] + [(T0 + dt.timedelta(seconds=30 * 40_000), 1)]
+    out = analytics.fill_bins(spark.createDataFrame(rows, "bin timestamp_ntz, n bigint"), "bin", 30)
+    got = out.agg(F.count("*"), F.sum("n"), F.count_if(F.col("n") == 0), F.max("bin"), F.count_distinct("bin")).first()
+    assert tuple(got) == (40_001, 7, 40_001 - 4, T0 + dt.timedelta(seconds=30 * 40_000), 40_001)
+    assert analytics.fill_bins(spark.createDataFrame([], "bin timestamp_ntz, n bigint"), "bin", 30).count() == 0
+
+
+def test_exact_auc(spark):
+    rng = random.Random(31)
+    rows = [(rng.choice([0.1, 0.5, 0.5, rng.random()]), rng.randint(0, 1)) for _ in range(400)] + [(None, 1), (float("nan"), 0), (0.5, None)]
+    pos, neg = [[s for s, y in rows[:400] if y == k] for k in (1, 0)]
+    want = sum((p > n) + (p == n) / 2 for p in pos for n in neg) / (len(pos) * len(neg))
+    got = ranking.exact_auc(spark.createDataFrame(rows, "s double, y int").repartition(5), "s", "y").first()
+    assert abs(got["auc"] - want) < 1e-12 and (got["positives"], got["negatives"]) == (len(pos), len(neg))
+    assert ranking.exact_auc(spark.createDataFrame([(0.5, 1)], "s double, y int"), "s", "y").first()["auc"] is None
+
+
+def test_headers_of_many_files_take_few_jobs(spark, tmp_path):
+    for i in range(300):
+        (tmp_path / f"f{i:03d}.csv").write_text("Destination Port, Label\n" + "80,BENIGN\n" * (1 + i % 3))
+    (tmp_path / "empty.csv").write_text("")
+    tracker, group = spark.sparkContext.statusTracker(), "headers"
+    spark.sparkContext.setJobGroup(group, group)
+    frames = training_files._by_header(spark, str(tmp_path), False, "UTF-8")
+    jobs = len(tracker.getJobIdsForGroup(group))
+    spark.sparkContext.setJobGroup("other", "other")
+    # One job for the first lines, one for the column names, and one of Spark to list more than 32 paths for each.
+    assert len(frames) == 1 and frames[0].count() == 600 and jobs <= 4
