@@ -751,20 +751,51 @@ def stream_incidents(spark, sf):
     return _ntz(out.select("incident_id", "src_ip", "start_time", "end_time", "alert_count", "max_severity", "status"))
 
 
+def _shuffled_stream(df: DataFrame, key: str) -> DataFrame:
+    """Five files whose rows come in no order of time, one for each micro-batch."""
+    mixed = stage(df.repartition(5, F.xxhash64(key)), "mixed")
+    path = mixed.inputFiles()[0].rsplit("/", 1)[0]
+    return df.sparkSession.readStream.schema(mixed.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _live_store(spark, sf) -> tuple[str, DataFrame]:
+    """Root of a store after five micro-batches of all alerts."""
+    from netloom.streaming import runner
+
+    alerts = _alerts(spark, sf)
+    root = run_dir(spark, "live")
+    cfg = detect.DetectConfig(incident_seconds=views.INCIDENT_SECONDS, incident_lateness_seconds=400 * 86400.0)
+    runner.start_alert_sink(_shuffled_stream(alerts, "alert_id"), root, f"{root}/checkpoint", cfg).awaitTermination()
+    return root, _ntz(runner.live_incidents(spark, root, F.current_timestamp(), views.INCIDENT_SECONDS))
+
+
 @query
 def stream_live_incidents(spark, sf):
     """Live incidents after five micro-batches whose alerts come in no order of time."""
+    return _live_store(spark, sf)[1].select("src_ip", "start_time", "end_time", "alert_count", "max_severity")
+
+
+@query
+def stream_alert_incidents(spark, sf):
+    """Every stored alert with the start of the incident that it belongs to after the last batch; versions are compacted first."""
     from netloom.streaming import runner
 
-    alerts = _alerts(spark, sf).select("alert_id", "alert_ts", "_src_ip", "severity")
-    mixed = stage(alerts.repartition(5, F.xxhash64("alert_id")), "mixed-alerts")
-    path = mixed.inputFiles()[0].rsplit("/", 1)[0]
-    source = spark.readStream.schema(mixed.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    root = run_dir(spark, "live")
-    cfg = detect.DetectConfig(incident_seconds=views.INCIDENT_SECONDS, incident_lateness_seconds=400 * 86400.0)
-    runner.start_alert_sink(source, root, f"{root}/checkpoint", cfg).awaitTermination()
+    root, _ = _live_store(spark, sf)
+    runner.compact_incidents(spark, root)
     live = _ntz(runner.live_incidents(spark, root, F.current_timestamp(), views.INCIDENT_SECONDS))
-    return live.select("src_ip", "start_time", "end_time", "alert_count", "max_severity")
+    return runner.current_alerts(spark, root).join(live.select("incident_id", "start_time"), "incident_id", "left").select("alert_id", "start_time")
+
+
+@query
+def stream_live_stats(spark, sf):
+    """The statistics published after the last of five batches of flows and of alerts."""
+    from netloom.streaming import live_stats, runner
+
+    root = run_dir(spark, "live-stats")
+    cfg = views.config()
+    runner.start_flow_sink(_shuffled_stream(_flows(spark, sf), "flow_id"), root, f"{root}/c1", cfg).awaitTermination()
+    runner.start_alert_sink(_shuffled_stream(_alerts(spark, sf), "alert_id"), root, f"{root}/c2", cfg).awaitTermination()
+    return rounded(live_stats.snapshot(spark, root).where("kind != 'rate'"), 4)
 
 
 @query

@@ -418,6 +418,9 @@ UNION ALL SELECT 'Attack', round(tp / (tp + fp)::DOUBLE, 6), round(tp / (tp + fn
 SQL["stream_flows"] = _with(F_) + (
     f"SELECT * REPLACE ({_R}) FROM flows WHERE floor((epoch_us(flow_end) + {GAP_SECONDS * 1000000}) / 1000) + 1 <= (SELECT floor(epoch_us(max(ts)) / 1000) FROM events)")
 SQL["stream_dedup"] = SQL["alerts_dedup"]
+SQL["stream_alert_incidents"] = _with(A_, _incidents("alerts", False)) + "SELECT alert_id, opened AS start_time FROM ilast"
+SQL["stream_live_stats"] = SQL["stats_snapshot"]
+
 _BLOCK = "array_to_string(string_split({c}, '.')[1:3], '.') || '.' || CAST(CAST(string_split({c}, '.')[4] AS INTEGER) % 3 AS VARCHAR) AS {c}"
 _BLOCKS = f"between AS (SELECT {_BLOCK.format(c='_src_ip')}, {_BLOCK.format(c='_dst_ip')} FROM flows)," + _LINKS.replace("FROM flows", "FROM between")
 SQL["block_matrix_top"] = _with(F_, _BLOCKS) + "SELECT * FROM toplinks"

@@ -20,11 +20,12 @@ from netloom.operators.alerts import raise_alerts
 from netloom.plans.detect import DetectConfig
 from netloom.session import run_dir, stage
 from netloom.sources.rulefile import RuleFile
+from netloom.streaming import live_stats
 
 log = logging.getLogger(__name__)
 
 # Topics a handler can subscribe to.
-TOPICS = ("alert", "flow", "stats", "error")
+TOPICS = ("alert", "flow", "stats", "error", "incident_update")
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -102,6 +103,7 @@ def start_flow_sink(flows: DataFrame, root: str, checkpoint: str, cfg: DetectCon
         try:
             rules = rule_file.current() if rule_file else cfg.rules
             write_batch(scored, root, "flows", batch_id)
+            live_stats.record_flows(scored, root, batch_id)
             topics.publish("flow", scored)
             write_batch(raise_alerts(scored, first_match(scored, rules)), root, "raw_alerts", batch_id)
         except Exception:
@@ -128,7 +130,10 @@ def start_alert_sink(fired: DataFrame, root: str, checkpoint: str, cfg: DetectCo
         try:
             found = upsert_incidents(spark, batch, root, batch_id, cfg.incident_seconds, cfg.incident_lateness_seconds)
             write_batch(with_incident(batch, found), root, "alerts", batch_id)
+            live_stats.record_alerts(batch, root, batch_id)
             topics.publish("alert", batch)
+            topics.publish("incident_update", closed_incidents(spark, root, batch_id))
+            topics.publish("stats", live_stats.snapshot(spark, root))
         finally:
             batch.unpersist()
 
@@ -192,7 +197,13 @@ def upsert_incidents(spark: SparkSession, alerts: DataFrame, root: str, batch_id
 
     stays = before.join(marked.where("incident_id IS NOT NULL").select("incident_id"), "incident_id", "left_anti")
     reachable = stays.unionByName(changed)
-    newest = reachable.agg(F.max("last_us")).scalar()
+    newest, prior_newest = reachable.agg(F.max("last_us")).scalar(), before.agg(F.max("last_us")).scalar()
+    # Closed by this batch: taken over by another, or silent for longer than the window as of the newest alert.
+    silent = reachable.where(F.col("last_us") < newest - gap).join(changed.select("incident_id", F.lit(True).alias("touched")), "incident_id", "left")
+    silent = silent.where(F.coalesce("touched", F.lit(False)) | F.coalesce(F.col("last_us") >= prior_newest - gap, F.lit(True)))
+    closed = silent.select("incident_id", F.lit("closed").alias("status"), F.lit(None).cast("bigint").alias("closed_by")).union(
+        absorbed.select("incident_id", F.lit("closed"), "closed_by"))
+    write_batch(closed, root, "incident_updates", batch_id)
     write_batch(reachable.where(F.col("last_us") >= newest - (late + gap)), root, "incidents_open", batch_id)
     return marked.where("s IS NOT NULL").select("src_ip", "s", F.col("goes_on").alias("incident_id"))
 
@@ -204,6 +215,64 @@ def with_incident(alerts: DataFrame, found: DataFrame) -> DataFrame:
     return keyed.join(named, ["_source", "_second"], "left").drop("_source", "_second")
 
 
+def closed_incidents(spark: SparkSession, root: str, batch_id: int) -> DataFrame:
+    """(incident_id, status, closed_by): the incidents that a batch closed."""
+    return spark.read.schema("incident_id bigint, status string, closed_by bigint").parquet(f"{root}/incident_updates/batch={batch_id}")
+
+
+def incident_names(stored: DataFrame) -> DataFrame:
+    """(incident_id, live_id): for each incident that was taken over, the one that goes on in the end.
+
+    One incident may be taken over by another that is itself taken over later. Every round looks two steps as far
+    as the one before (pointer jumping), so the number of rounds grows with the logarithm of the longest chain.
+    """
+    newest = stored.groupBy("incident_id").agg(F.max_by("closed_by", "batch").alias("live_id")).where("live_id IS NOT NULL")
+    now = stage(newest, "taken-over")
+    while True:
+        further = now.select(F.col("incident_id").alias("live_id"), F.col("live_id").alias("next"))
+        moved = stage(now.join(further, "live_id", "left").select("incident_id", F.coalesce("next", "live_id").alias("live_id"), F.col("next").isNotNull().alias("moved")), "taken-over")
+        now = moved.select("incident_id", "live_id")
+        if moved.where("moved").isEmpty():
+            return now
+
+
+def current_alerts(spark: SparkSession, root: str) -> DataFrame:
+    """Stored alerts with the id of the incident that they belong to now."""
+    alerts = spark.read.parquet(f"{root}/alerts").drop("batch")
+    names = incident_names(_stored(spark, root))
+    return alerts.join(names, "incident_id", "left").withColumn("incident_id", F.coalesce("live_id", "incident_id")).drop("live_id")
+
+
+def compact_incidents(spark: SparkSession, root: str) -> int:
+    """Writes the newest version of every incident as one table, which later readers start from; gives its batch number.
+
+    What was taken over names the incident that goes on. The versions by batch stay where they are.
+    """
+    stored = _stored(spark, root)
+    last = stored.agg(F.max("batch")).first()[0]
+    if last is None:
+        return -1
+    columns = [c for c in stored.columns if c not in ("incident_id", "batch")]
+    newest = stored.groupBy("incident_id").agg(F.max_by(F.struct(*columns), "batch").alias("v")).select("incident_id", "v.*")
+    named = newest.join(incident_names(stored), "incident_id", "left").withColumn("closed_by", F.coalesce("live_id", "closed_by")).drop("live_id")
+    named.withColumn("batch", F.lit(last).cast("bigint")).write.mode("overwrite").parquet(f"{root}/incidents_compact/upto={last}")
+    return last
+
+
+def _stored(spark: SparkSession, root: str) -> DataFrame:
+    """Versions of incidents: the newest compacted table, and the batches after it."""
+    schema = _LIVE + ", batch bigint"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/incidents_compact")
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    done = [int(str(s.getPath().getName()).split("=")[1]) for s in files.listStatus(path)
+            if files.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))] if files.exists(path) else []
+    later = spark.read.schema(schema).parquet(f"{root}/incidents")
+    if not done:
+        return later
+    compact = spark.read.schema(schema).parquet(f"{root}/incidents_compact/upto={max(done)}")
+    return compact.unionByName(later.where(F.col("batch") > max(done)))
+
+
 def latest_parts(stored: DataFrame) -> DataFrame:
     """The newest version of each incident that no other one has taken over."""
     newest = stored.groupBy("incident_id").agg(F.max_by(F.struct(*[c for c in stored.columns if c not in ("incident_id", "batch")]), "batch").alias("v"))
@@ -212,7 +281,7 @@ def latest_parts(stored: DataFrame) -> DataFrame:
 
 def live_incidents(spark: SparkSession, root: str, as_of, window_seconds: float) -> DataFrame:
     """Incidents with their status at ``as_of`` (a timestamp, or a Column)."""
-    stored = spark.read.schema(_LIVE + ", batch bigint").parquet(f"{root}/incidents")
+    stored = _stored(spark, root)
     end = F.timestamp_micros("last_us")
     now = as_of if isinstance(as_of, Column) else F.lit(as_of)
     idle = F.unix_micros(now.cast("timestamp")) - F.col("last_us")

@@ -224,3 +224,40 @@ def test_live_incidents_in_any_order(spark, tmp_path):
         ("a", 90, 400, 6, "high"), ("b", 1000, 1000, 1, "low"), ("b", 5000, 5000, 1, "low")]
     assert len({r["incident_id"] for r in found}) == 3
     assert spark.read.parquet(f"{root}/incidents_open/batch=5").count() == 3
+    # Compacted in between or not, the same incidents are there.
+    assert runner.compact_incidents(spark, root) == 5
+    again = runner.live_incidents(spark, root, T0 + dt.timedelta(seconds=600), 180).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, found))
+    updates = [(n, r["status"], r["closed_by"] is not None) for n in range(6) for r in runner.closed_incidents(spark, root, n).collect()]
+    assert {u[1] for u in updates} == {"closed"} and any(u[2] for u in updates)
+
+
+def test_names_after_long_chains_of_merges(spark):
+    """Incident 1 was taken over by 2, 2 by 3 and so on; the last one goes on."""
+    rows = [(i, None if i == 40 else i + 1, i % 7) for i in range(1, 41)] + [(100, None, 1), (1, None, -1)]
+    names = runner.incident_names(spark.createDataFrame(rows, "incident_id long, closed_by long, batch long"))
+    assert {r["incident_id"]: r["live_id"] for r in names.collect()} == {i: 40 for i in range(1, 40)}
+
+
+def test_statistics_follow_the_batches(spark, tmp_path):
+    """State merged over three batches, one of them repeated, equals the whole."""
+    from netloom.streaming import live_stats
+
+    root = str(tmp_path / "s")
+    rows = [(i, "ATTACK", "high" if i % 3 else "low", f"1.1.1.{i % 4}", "2.2.2.2", i / 3000, T0 + dt.timedelta(seconds=i)) for i in range(3000)]
+    schema = "alert_id long, label string, severity string, _src_ip string, _dst_ip string, score double, alert_ts timestamp"
+    rng = random.Random(5)
+    rng.shuffle(rows)
+    flows = spark.createDataFrame([(i, 80 + i % 2, T0 + dt.timedelta(seconds=i)) for i in range(900)], "flow_id long, dst_port int, flow_end timestamp")
+    for batch, part in enumerate((rows[:1000], rows[1000:2500], rows[2500:])):
+        for _ in range(2 if batch == 1 else 1):
+            live_stats.record_alerts(spark.createDataFrame(part, schema), root, batch)
+    live_stats.record_flows(flows, root, 0)
+    got = {(r["kind"], r["item"]): r["value"] for r in live_stats.snapshot(spark, root).collect()}
+    assert got["total", "total_alerts"] == 3000 and got["total", "total_flows"] == 900 and got["total", "attack_rate_pct"] == 333.33
+    assert got["severity", "high"] == 2000 and got["src_ip", "1.1.1.2"] == 750 and got["port", "81"] == 450
+    assert got["score", "score_count"] == 1000 and got["score", "score_mean"] == round(sum(range(2000, 3000)) / 3e6, 4)
+    assert got["rate", "alerts_per_sec"] == round(301 / 300, 3) and got["rate", "flows_per_sec"] == 0
+    assert spark.read.parquet(f"{root}/stats_alerts/seconds/batch=2").count() == 301
+    empty = str(tmp_path / "e")
+    assert {r["value"] for r in live_stats.snapshot(spark, empty).collect()} == {0.0}
