@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from netloom.functions.net import cidr_length, cidr_low, ipv4_number, prefix_size, skips_enrichment
+from netloom.functions.net import ip_parts, masked, network_parts, skips_enrichment
 from netloom.schemas import GEO_COLS
 
 
@@ -67,35 +67,33 @@ def enrich(df: DataFrame, blocklist: DataFrame, geo: DataFrame, ip: str = "_src_
 
 # ---------------------------------------------------------------- networks
 
+_PREFIX = ["_family", "_len", "_hi", "_lo"]
+
+
 def _prefixes(nets: DataFrame, cidr: str) -> DataFrame:
-    """Well-formed networks as (length, index): the index is the address without its host bits."""
-    return (
-        nets.withColumns({"_len": cidr_length(F.col(cidr)), "_low": cidr_low(F.col(cidr))})
-        .where(F.col("_low").isNotNull() & F.col("_len").isNotNull())
-        .withColumn("_net", F.floor(F.col("_low") / prefix_size(F.col("_len"))).cast("long")).drop("_low")
-    )
+    """Well-formed networks of both families with family, length and the bits of the prefix."""
+    parts = nets.withColumn("_net", network_parts(F.col(cidr))).where("_net IS NOT NULL")
+    return parts.withColumns({"_family": F.col("_net.family"), "_len": F.col("_net.length"), "_hi": F.col("_net.hi"), "_lo": F.col("_net.lo")}).drop("_net")
 
 
 def _addresses(df: DataFrame, ip: str, prefixes: DataFrame) -> DataFrame:
-    """Distinct addresses of the column, one row for each prefix length in use (33 at most)."""
-    number = ipv4_number(F.col("_ip"))
-    lengths = prefixes.agg(F.collect_set("_len")).scalar()
-    return (
-        df.select(F.col(ip).alias("_ip")).distinct().withColumn("_num", number).where(F.col("_num").isNotNull())
-        .withColumn("_len", F.explode(lengths))
-        .withColumn("_net", F.floor(F.col("_num") / prefix_size(F.col("_len"))).cast("long"))
-    )
+    """Distinct addresses of the column, one row for each prefix length in use in their family (33 or 129 at most)."""
+    lengths = prefixes.agg(F.collect_set(F.struct("_family", "_len"))).scalar()
+    parsed = df.select(F.col(ip).alias("_ip")).distinct().withColumn("_parts", ip_parts(F.col("_ip"))).where("_parts IS NOT NULL")
+    each = parsed.withColumn("_use", F.explode(lengths)).where(F.col("_use._family") == F.col("_parts.family"))
+    low = masked(F.col("_parts"), F.col("_use._len"))
+    return each.select("_ip", F.col("_use._family").alias("_family"), F.col("_use._len").alias("_len"), low["hi"].alias("_hi"), low["lo"].alias("_lo"))
 
 
 def network_matches(df: DataFrame, nets: DataFrame, ip: str, cidr: str = "cidr") -> DataFrame:
-    """(address, network columns): every network that holds an address.
+    """(address, network columns): every network that holds an address, IPv4 and IPv6 alike.
 
-    An equality join on prefix length and index, over distinct addresses only.
+    An equality join on family, prefix length and prefix, over distinct addresses only.
     """
     prefixes = _prefixes(nets, cidr)
     return (
-        _addresses(df, ip, prefixes).join(prefixes, ["_len", "_net"])
-        .withColumnRenamed("_len", "prefix_length").drop("_net", "_num").withColumnRenamed("_ip", ip)
+        _addresses(df, ip, prefixes).join(prefixes, _PREFIX)
+        .withColumnRenamed("_len", "prefix_length").drop("_family", "_hi", "_lo").withColumnRenamed("_ip", ip)
     )
 
 

@@ -1,9 +1,11 @@
 import datetime as dt
+import ipaddress
 import random
 
 import simulate
 from pyspark.sql import functions as F
 
+from netloom.functions import net
 from netloom.operators import alerts as al
 from netloom.operators import blocking, dedup, incidents, intel
 
@@ -134,6 +136,45 @@ def test_network_lookup(spark):
     assert {r["ip"]: r["inside"] for r in intel.in_networks(df, nets, "ip", "inside").collect()}["bad"] is False
 
 
+def test_addresses_of_both_families(spark):
+    rng = random.Random(41)
+    words = ["::", "::1", "fe80::1%eth0", "2001:db8::", "2001:DB8:0:0:1::ff", "1:2:3:4:5:6:7:8", "::ffff:10.1.2.3", "64:ff9b::192.0.2.33", "10.1.2.3", "255.255.255.255", "",
+             "1::2::3", "12345::", "::g", "1:2:3", "::256.1.1.1", "10.1.2", ":1::", "x"]
+    words += [str(ipaddress.IPv6Address(rng.getrandbits(128) & rng.getrandbits(128))) for _ in range(200)]
+    nets = ["2001:db8::/32", "2001:db8::/48", "::/0", "8000::/1", "fe80::/10", "10.0.0.0/8", "10.1.2.3", "::1", "0.0.0.0/0", "::ffff:10.0.0.0/104", "2001:db8::1/32", "10.0.0.1/8", "::/129", "::/-1", "bad"]
+
+    def address(text):
+        try:
+            return ipaddress.ip_address(text.split("%")[0])
+        except ValueError:
+            return None
+
+    def network(text):
+        try:
+            return ipaddress.ip_network(text)
+        except ValueError:
+            return None
+
+    df = spark.createDataFrame([(w,) for w in words] + [(None,)], "ip string")
+    got = {r["ip"]: r["p"] for r in df.select("ip", net.ip_parts(F.col("ip")).alias("p")).collect()}
+    for w in words:
+        a = address(w)
+        assert (got[w] is None) == (a is None), w
+        if a is not None:
+            assert (got[w]["family"], (got[w]["hi"] % 2**64 << 64) + got[w]["lo"] % 2**64) == (a.version, int(a)), w
+    found = {}
+    for r in intel.network_matches(df, spark.createDataFrame([(n,) for n in nets], "cidr string"), "ip").collect():
+        found.setdefault(r["ip"], set()).add((r["cidr"], r["prefix_length"]))
+    known = {n: network(n) for n in nets if network(n) is not None}
+    for w in words:
+        a = address(w)
+        want = {(n, k.prefixlen) for n, k in known.items() if a is not None and a.version == k.version and a in k}
+        assert found.get(w, set()) == want, w
+    flows = spark.createDataFrame([("2001:db8::5", "2001:db9::1"), ("8.8.8.8", "2001:db8::9"), ("10.0.0.1", "2001:db8::9"), ("fe80::1", "1::"), ("?", "1::")], "_src_ip string, _dst_ip string")
+    told = [r["direction"] for r in net.with_direction(flows, ["2001:db8::/32", "10.0.0.0/8"]).collect()]
+    assert told == ["outbound", "inbound", "internal", "external", "uncertain"]
+
+
 def test_blocked_set(spark):
     rows = [(at(1), "block", "8.8.8.8"), (at(2), "block", "10.0.0.1"), (at(3), "unblock", "8.8.8.8"), (at(4), "block", "8.8.8.8"), (at(1), "block", "9.9.9.9"), (at(2), "unblock", "9.9.9.9"), (at(3), "drop", "9.9.9.9"), (at(3), "block", "")]
     b = blocking.blocked_addresses(spark.createDataFrame(rows, "ts timestamp_ntz, action string, ip string"))
