@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pathlib
 import re
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,6 +60,19 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, for clusters where it is not installed and sessions started from another folder.
+
+    Spark serves the archive from the driver to every executor, also to those that join later.
+    """
+    package = pathlib.Path(__file__).parent
+    archive = pathlib.Path(tempfile.mkdtemp(prefix="netloom-"), "netloom.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(archive))
+
+
 def run_dir(spark: SparkSession, name: str) -> str:
     """A new, empty path below :func:`shared_dir`; nothing is ever deleted or reused."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

@@ -28,3 +28,21 @@ def test_only_run_folders_are_removed(spark):
         spark.read.parquet(path).count()
     with pytest.raises(ValueError):
         session.drop_run(spark, "/root")
+
+
+def test_workers_find_the_package_from_another_folder(tmp_path):
+    """A session of its own, started elsewhere, whose workers have no path to the package but what was shipped."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    script = tmp_path / "elsewhere.py"
+    script.write_text(
+        f"import sys\nsys.path.insert(0, {root!r})\n"
+        "from pyspark.sql import functions as F\nfrom netloom.functions import times\nfrom netloom.session import build_session, ship\n"
+        "spark = build_session('elsewhere', 'local[1]', **{'spark.ui.enabled': 'false'})\nship(spark)\n"
+        "print('FOUND', spark.range(3).select(F.udf(times.to_micros, 'long')('id')).collect()[2][0])\n")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "FOUND 2000000" in out.stdout, out.stderr[-2000:]
