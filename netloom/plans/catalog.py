@@ -812,6 +812,18 @@ def stream_label_join(spark, sf):
     return drain(run(again(f, "flow_end"), again(a, "alert_ts")).select("flow_id", "label"), "stream-labels")
 
 
+@query
+def stream_label_counts(spark, sf):
+    """Flows with their labels and the number of alerts behind each, over five stretches of both streams."""
+    from netloom.streaming.label_state import stream_label_counts as run
+    from netloom.streaming.runner import drain_in_turns
+
+    f = stage(_flows(spark, sf), "flows")
+    a = stage(_near_alerts(spark, sf).select("_src_ip", "_dst_ip", "_dst_port", "alert_ts", "label"), "near")
+    (flows, alerts), feeds = _turns(f, "flow_end", (a, "alert_ts"))
+    return drain_in_turns(run(flows, alerts), "stream-label-counts", feeds).select("flow_id", "label", "times")
+
+
 @query
 def stream_rates(spark, sf):
     from netloom.streaming.operators import stream_rates as run

@@ -459,4 +459,9 @@ HAVING window_start + INTERVAL 6 HOUR <= (SELECT date_trunc('milliseconds', max(
 SQL["stream_label_join"] = _with(A_, _NEAR) + """
 , wm AS (SELECT least((SELECT floor(epoch_us(max(flow_end)) / 1000) FROM flows), (SELECT floor(epoch_us(max(alert_ts)) / 1000) FROM near)) AS ms)
 SELECT l.flow_id, l.label FROM labelled l JOIN flows f ON l.flow_id = f.flow_id, wm WHERE l.label <> 'BENIGN' OR epoch_us(f.flow_end) / 1000 + 5000 < ms""".lstrip()
+# A flow leaves when the slower watermark is past the cell after its own.
+SQL["stream_label_counts"] = _with(A_, _NEAR) + """
+, wm AS (SELECT least((SELECT floor(epoch_us(max(flow_end)) / 1000) FROM flows), (SELECT floor(epoch_us(max(alert_ts)) / 1000) FROM near)) AS ms)
+SELECT l.flow_id, l.label, count(*) AS times FROM labelled l JOIN flows f ON l.flow_id = f.flow_id, wm
+WHERE floor((epoch_us(f.flow_end) // 5000000 * 5000000 + 10000000) / 1000) + 1 <= ms GROUP BY 1, 2""".lstrip()
 SQL["label_numbers"] = _with(_TRAIN) + "SELECT label, (dense_rank() OVER (ORDER BY label) - 1)::DOUBLE AS label_index, n FROM (SELECT label, count(*) AS n FROM strict GROUP BY 1)"
