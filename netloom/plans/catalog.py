@@ -575,8 +575,31 @@ def json_payload(spark, sf):
     return rounded(back.select("alert_id", "severity", "score", "_src_ip", "critical"))
 
 
+@query
+def alert_store_recent(spark, sf):
+    """The newest 100 alerts of a store that they were appended to in two goes."""
+    from netloom.sources import tables
+
+    root, a = run_dir(spark, "store"), _stored_alerts(spark, sf)
+    for even in (0, 1):
+        tables.append_alerts(a.where(F.col("alert_id") % 2 == even), root)
+    return tables.recent_rows(spark, root, "alerts", 100).select("alert_id", "alert_ts", "severity")
+
+
 # ---------------------------------------------------------------- training data
 
+@query
+def capture_training(spark, sf):
+    """Two captures with a label each, added to a folder of CSVs and read back as training rows."""
+    from netloom.sources import tables, training_files
+
+    folder, f = run_dir(spark, "captures"), stage(_flows(spark, sf), "flows")
+    tables.append_labelled(f.where("rst_flag_count > 0"), "Reset", folder)
+    tables.append_labelled(f.where("rst_flag_count = 0"), " benign", folder)
+    t = training_files.load_mixed_flows(spark, folder)
+    return t.groupBy("label", "is_attack").agg(F.count(F.lit(1)).alias("n"), F.sum("packet_count").cast("long").alias("packets"), F.sum("src_bytes").cast("long").alias("bytes"))
+
+
 def _near_alerts(spark, sf):
     """Alerts moved by a few seconds, some of them twice, so that the band decides."""
     a = _alerts(spark, sf)

@@ -459,6 +459,10 @@ HAVING window_start + INTERVAL 6 HOUR <= (SELECT date_trunc('milliseconds', max(
 SQL["stream_label_join"] = _with(A_, _NEAR) + """
 , wm AS (SELECT least((SELECT floor(epoch_us(max(flow_end)) / 1000) FROM flows), (SELECT floor(epoch_us(max(alert_ts)) / 1000) FROM near)) AS ms)
 SELECT l.flow_id, l.label FROM labelled l JOIN flows f ON l.flow_id = f.flow_id, wm WHERE l.label <> 'BENIGN' OR epoch_us(f.flow_end) / 1000 + 5000 < ms""".lstrip()
+SQL["alert_store_recent"] = _with(A_) + "SELECT alert_id, alert_ts, severity FROM alerts ORDER BY alert_ts DESC, alert_id DESC LIMIT 100"
+SQL["capture_training"] = _with(F_) + """
+SELECT CASE WHEN rst_flag_count > 0 THEN 'Reset' ELSE 'benign' END AS label, CASE WHEN rst_flag_count > 0 THEN 1 ELSE 0 END AS is_attack, count(*) AS n,
+  sum(packet_count)::BIGINT AS packets, sum(src_bytes)::BIGINT AS bytes FROM flows GROUP BY 1, 2"""
 # A flow leaves when the slower watermark is past the cell after its own.
 SQL["stream_label_counts"] = _with(A_, _NEAR) + """
 , wm AS (SELECT least((SELECT floor(epoch_us(max(flow_end)) / 1000) FROM flows), (SELECT floor(epoch_us(max(alert_ts)) / 1000) FROM near)) AS ms)

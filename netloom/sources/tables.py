@@ -49,9 +49,6 @@ def recent_rows(spark: SparkSession, root: str, name: str, n: int = 2000, tie: s
     return newest(read_table(spark, root, name), n, TIME_OF[name], tie)
 
 
-
-
-
 def clear_table(spark: SparkSession, root: str, name: str, schema: T.StructType) -> None:
     """Leaves an empty table with the same columns."""
     spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{root}/{name}")
