@@ -191,6 +191,17 @@ def test_labels_make_no_pairs(spark):
     assert 6000 <= most_rows(counted) <= 12_000  # flows and edge values, each row once
 
 
+def test_flows_stay_out_of_the_ordering(spark):
+    """Only different times of a key are ordered among its alerts, without the other columns of the flows that share them."""
+    f = spark.sql("select id as flow_id, 'a' as _src_ip, 'b' as _dst_ip, 80 as _dst_port, timestamp_seconds(id % 3) as flow_end, repeat('x', 500) as payload from range(300)")
+    a = spark.sql("select 'a' as _src_ip, 'b' as _dst_ip, 80 as _dst_port, timestamp_seconds(id) as alert_ts, 'SCAN' as label from range(2)")
+    marks = labels._marks(a, "alert_ts", 5_000_000)
+    rows = labels._entered(f, marks, marks.select(*labels.KEYS, "cell").distinct(), "flow_end", 5_000_000)
+    assert not {"flow", "payload", "flow_id"} & set(rows.columns) and rows.where("met").count() == 3
+    got = labels.label_counts(f, a, 2.0).groupBy("flow_end", "label", "times").count().collect()
+    assert sorted((r["flow_end"].second, r["label"], r["times"], r["count"]) for r in got) == [(0, "SCAN", 2, 100), (1, "SCAN", 2, 100), (2, "SCAN", 1, 100)]
+
+
 def test_cuts_descend_until_few_rows_are_ranked(spark):
     """Parts of no more than ten rows are ranked: the digest is read four digits further at a time."""
     df = spark.range(3000).select("id", (F.col("id") % 3).alias("g"))
