@@ -202,6 +202,46 @@ def test_busy_key_over_several_batches(spark, make_packets, tmp_path):
     simulate.same_flows(got, simulate.flows(rows, 7.0))
 
 
+def test_many_slices_fold_at_once_and_a_key_has_one_timer():
+    """One call folds the packets of several keys and slices; the open flows of a key wait for one timer, which ends all that are over."""
+    from netloom.streaming import flow_state as fs
+
+    rng = np.random.default_rng(3)
+    n = 500
+    us = rng.integers(0, 40_000_000_000, n)
+    cols = {"lo_ip": rng.choice(["a", "b"], n), "hi_ip": np.full(n, "z"), "us": us, "slice": us // 1_000_000_000, "code": np.arange(n) * 4 + rng.integers(0, 4, n),
+            "n": np.ones(n, dtype=np.int64), "len_all": rng.integers(40, 1500, n), "max_lo": rng.integers(0, 1500, n)}
+    cols |= {c: np.full(n, 6, dtype=np.int32) for c in ("lo_port", "hi_port", "protocol")}
+    cols |= {c: cols["len_all"] for c in [*fs._ADDED, "max_hi"] if c not in cols}
+    got = {(r["lo_ip"], r["first_us"] // 1_000_000_000): r for r in fs._fold_slices(pa.table(cols)).to_pylist()}
+    for (ip, cell), r in got.items():
+        at = sorted(np.flatnonzero((cols["lo_ip"] == ip) & (cols["slice"] == cell)), key=lambda i: us[i])
+        opens = [i for i in at if cols["code"][i] & 1]
+        turn = at.index(opens[0]) if opens else 0
+        waits = [int(us[b] - us[a]) for a, b in zip(at, at[1:])]
+        skipped = waits.pop(turn - 1) if turn else None
+        known = lambda v: None if v == fs._UNKNOWN else v
+        assert (r["n"], r["len_all"], r["last_us"], r["flow_code"]) == (len(at), cols["len_all"][at].sum(), us[at[-1]], cols["code"][at[0]])
+        assert (known(r["iat_max"]), known(r["iat_min"]), known(r["skipped_us"])) == (max(waits, default=None), min(waits, default=None), skipped)
+        assert (known(r["before_n"]), known(r["after_max"])) == ((turn, max(cols["max_lo"][at[turn:]])) if turn else (None, None))
+    assert sum(r["n"] for r in got.values()) == n
+
+    handle, processor = _Handle(), fs.FlowProcessor(1_000_000)
+    processor.init(handle)
+    row = {**dict.fromkeys([*fs._TOTALS, "iat_sq"], 0), "turn_code": fs._UNKNOWN}
+    rows = [(*"a1z16", *({**row, "first_us": t, "last_us": t}[c] for c in [*fs._TOTALS, "iat_sq"])) for t in (0, 10_000_000, 20_000_000)]
+    list(processor.handleInputRows(tuple("a1z16"), iter(rows), None))
+    assert handle.timers == {1001}
+    handle.timers.clear()
+
+    class Now:
+        def getCurrentWatermarkInMs(self):
+            return 12_000
+
+    assert [r["last_us"] for r in processor.handleExpiredTimer(tuple("a1z16"), Now(), None)] == [0, 10_000_000]
+    assert handle.timers == {21_001} and len(handle.kept) == 1
+
+
 def test_topics():
     t = runner.Topics()
     with pytest.raises(ValueError):
