@@ -17,7 +17,7 @@ from netloom.sources.packets import stream_packets
 from netloom.streaming import runner
 from netloom.streaming.dedup_state import stream_dedup
 from netloom.streaming.flow_state import stream_flows
-from netloom.streaming.label_state import stream_label_counts
+from netloom.streaming.label_state import BUCKETS, stream_label_counts
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -124,6 +124,24 @@ def test_stream_labels_equal_all_pairs(spark, tmp_path):
     assert found == counts
 
 
+def test_labels_of_many_cells_are_kept_together(spark, tmp_path):
+    """4000 flows in as many cells of two keys take a few pieces of state; those leave whose time the watermark has just reached."""
+    runner.use_rocksdb(spark)
+    at = lambda ms: T0 + dt.timedelta(milliseconds=ms)
+    last = 5000 * 4000 + 1
+    flows = [(i, "ab"[i % 2], "x", 80, at(5000 * i)) for i in range(4000)] + [(-1, "z", "z", 1, at(last))]
+    alerts = [("a", "x", 80, at(5000 * i + 4999), "SCAN") for i in range(0, 4000, 4)] + [("z", "z", 1, at(last), "z")]
+    spark.createDataFrame(flows, "flow_id long, _src_ip string, _dst_ip string, _dst_port int, flow_end timestamp").coalesce(1).write.parquet(str(tmp_path / "f"))
+    spark.createDataFrame(alerts, "_src_ip string, _dst_ip string, _dst_port int, alert_ts timestamp, label string").coalesce(1).write.parquet(str(tmp_path / "a"))
+    read = lambda name, ts: spark.readStream.schema(spark.read.parquet(str(tmp_path / name)).schema).parquet(str(tmp_path / name)).withWatermark(ts, "0 seconds")
+    found = stream_label_counts(read("f", "flow_end"), read("a", "alert_ts"), 5.0)
+    query = runner.to_parquet(found, str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+    query.awaitTermination()
+    assert max(op["numRowsTotal"] for p in query.recentProgress for op in p["stateOperators"]) < 6 * BUCKETS
+    got = {r["flow_id"]: (r["label"], r["times"]) for r in spark.read.schema(found.schema).parquet(str(tmp_path / "out")).collect()}
+    assert got == {i: ("SCAN" if i % 4 == 0 else "BENIGN", 1) for i in range(3999)}
+
+
 class _Handle:
     """State of one key in memory."""
 
