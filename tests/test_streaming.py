@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+import re
 import tracemalloc
 
 import numpy as np
@@ -18,6 +19,7 @@ from netloom.streaming import runner
 from netloom.streaming.dedup_state import stream_dedup
 from netloom.streaming.flow_state import stream_flows
 from netloom.streaming.label_state import BUCKETS, stream_label_counts
+from netloom.streaming.operators import stream_labels
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -124,6 +126,29 @@ def test_stream_labels_equal_all_pairs(spark, tmp_path):
     assert found == counts
 
 
+def test_stream_labels_compare_only_near_alerts(spark, tmp_path):
+    """One key; gaps around the band and around the borders of cells, repeated alerts, missing keys and times. A flow looks up the alerts of its time alone."""
+    rng = random.Random(3)
+    at = lambda us: None if us is None else T0 + dt.timedelta(microseconds=us)
+    flows = [(i, "a", "x", 80, 2_500_000 * rng.randint(0, 40) + rng.randint(-1, 1)) for i in range(120)] + [(120, None, "x", 80, 0), (121, "a", "x", 80, None)]
+    alerts = [("a", "x", 80, 2_500_000 * rng.randint(0, 60) + rng.randint(-1, 1), rng.choice(["SCAN", None])) for _ in range(40)] * 2 + [("a", "x", 80, None, "NEVER"), (None, "x", 80, 0, "NEVER")]
+    last = 10**9
+    spark.createDataFrame([(*f[:4], at(f[4])) for f in [*flows, (-1, "z", "z", 1, last)]], "flow_id long, _src_ip string, _dst_ip string, _dst_port int, flow_end timestamp").write.parquet(str(tmp_path / "f"))
+    spark.createDataFrame([(*a[:3], at(a[3]), a[4]) for a in [*alerts, ("y", "z", 1, last, "z")]], "_src_ip string, _dst_ip string, _dst_port int, alert_ts timestamp, label string").write.parquet(str(tmp_path / "a"))
+    read = lambda name, ts: spark.readStream.schema(spark.read.parquet(str(tmp_path / name)).schema).parquet(str(tmp_path / name)).withWatermark(ts, "0 seconds")
+    joined = stream_labels(read("f", "flow_end"), read("a", "alert_ts"))
+    got = sorted((r["flow_id"], r["label"]) for r in runner.drain(joined, "t-near-labels").collect())
+    want = []
+    for i, s, _, _, us in flows:
+        if us is not None:
+            met = [x or "BENIGN" for a, _, _, u, x in alerts if s and a == s and u is not None and abs(us - u) < 5_000_000]
+            want += [(i, x) for x in met or ["BENIGN"]]
+    assert got == sorted(want) and 200 < len(got)
+    plan = spark._jvm.PythonSQLUtils.explainString(joined._jdf.queryExecution(), "simple")
+    keys = re.search(r"StreamingSymmetricHashJoin \[(.*?)\], \[(.*?)\], LeftOuter", plan)
+    assert "flow_end" in keys[1] and "a_cell" in keys[2]
+
+
 def test_labels_of_many_cells_are_kept_together(spark, tmp_path):
     """4000 flows in as many cells of two keys take a few pieces of state; those leave whose time the watermark has just reached."""
     runner.use_rocksdb(spark)
